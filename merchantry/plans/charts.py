@@ -17,11 +17,11 @@ BRAND = Filter("store_id", "equals", ("$label",))
 STORE = Filter("store_id", "equals", ("$store",))
 LEADS = Filter("is_dtc_b2b_lead", "equals", (True,))
 LAST_TWO_MONTHS = Filter("order_month", "inThePast", (2,))
+YEAR = Filter("order_month_label", "equals", ("$months",))
 # The report year of the subscriber charts.
-YEAR = Filter(
-    "order_month_label",
-    "equals",
-    tuple(f"2025-{m:02d}" for m in range(5, 13)) + tuple(f"2026-{m:02d}" for m in range(1, 5)),
+REPORT_MONTHS = (
+    "2025-05", "2025-06", "2025-07", "2025-08", "2025-09", "2025-10", "2025-11", "2025-12",
+    "2026-01", "2026-02", "2026-03", "2026-04",
 )
 
 
@@ -167,13 +167,19 @@ def _bind(text, settings: Settings):
     return text
 
 
-def charts(settings: Settings) -> dict[str, MetricQuery]:
-    """Every chart with the store names of the deployment put in."""
+def _bind_filter(f: Filter, settings: Settings, months: tuple[str, ...]) -> Filter:
+    if f.values == ("$months",):
+        return replace(f, values=tuple(months))
+    return replace(f, values=tuple(_bind(v, settings) for v in f.values))
+
+
+def charts(settings: Settings, months: tuple[str, ...] = REPORT_MONTHS) -> dict[str, MetricQuery]:
+    """Every chart with the deployment's store names and the report months put in."""
     return {
         name: replace(
             query,
             dims=tuple(_bind(d, settings) for d in query.dims),
-            filters=tuple(replace(f, values=tuple(_bind(v, settings) for v in f.values)) for f in query.filters),
+            filters=tuple(_bind_filter(f, settings, months) for f in query.filters),
         )
         for name, query in CHARTS
     }

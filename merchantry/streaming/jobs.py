@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from merchantry.operators import ranking
+from merchantry.operators.touch import last_touch
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -61,7 +62,7 @@ def latest_per_key(
             .parquet(f"{target}/_generation={batch_id:012d}")
         )
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return stream_batches(stream, merge, checkpoint)
 
 
 def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
@@ -98,55 +99,60 @@ def first_per_order(stream: DataFrame, ts: str, keys: Sequence[str], delay: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def touches_of_orders(
+def attribute_orders(
     orders: DataFrame,
-    touches: DataFrame,
+    read_touches: Callable[[], DataFrame],
     keys: Sequence[str],
+    order_id: Sequence[str],
     order_ts: str,
     touch_ts: str,
+    touch_id: str,
+    carry: Sequence[str],
+    target: str,
+    checkpoint: str,
     lookback_days: int = 5,
-    delay: str = "1 hour",
-) -> DataFrame:
-    """Order/touch matches inside the look-back window, both sides streaming.
+) -> DataStreamWriter:
+    """Last-touch attribution of arriving orders against the landed touches.
 
-    Watermarks on both sides bound the join state to the window.  The newest
-    match per order is picked downstream by :func:`newest_match`.
+    Every batch of orders goes through the batch as-of operator, with the
+    touches cut to the batch's own time range, so a stream keeps no five-day
+    state and builds no order/touch pairs.  A batch writes its own folder; a
+    retry replaces it.  Orders should lag the touches by the loader's delay.
     """
-    left = orders.withWatermark(order_ts, delay)
-    right = touches.withWatermark(touch_ts, delay)
-    same = [F.col(f"o.{k}") == F.col(f"t.{k}") for k in keys]
-    inside = F.expr(f"t.{touch_ts} <= o.{order_ts} and t.{touch_ts} >= o.{order_ts} - interval {lookback_days} days")
-    kept = [F.col(f"t.{c}") for c in touches.columns if c not in keys]
-    condition: Column = inside
-    for c in same:
-        condition = condition & c
-    return left.alias("o").join(right.alias("t"), condition, "inner").select("o.*", *kept)
+
+    def attribute(batch: DataFrame, batch_id: int) -> None:
+        low = batch.select(F.min(order_ts) - F.make_dt_interval(F.lit(lookback_days))).scalar()
+        high = batch.select(F.max(order_ts)).scalar()
+        near = read_touches().filter(F.col(touch_ts).between(low, high))
+        found = last_touch(batch, near, keys, order_id, order_ts, touch_ts, touch_id, carry, lookback_days)
+        found.write.mode("overwrite").parquet(f"{target}/_batch={batch_id:012d}")
+
+    return stream_batches(orders, attribute, checkpoint)
+
+
+def stream_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def newest_match(matches: DataFrame, order_id: Sequence[str], touch_ts: str, touch_id: str) -> DataFrame:
-    """One row per order: the newest touch, the greater id at equal times."""
-    order = [F.col(touch_ts).desc_nulls_last(), F.col(touch_id).desc_nulls_last()]
-    return ranking.top_n_per_group(matches, list(order_id), order)
+def write_updates(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
+    """Changed result rows of every batch, one folder per batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/_batch={batch_id:012d}")
+
+    return stream_batches(stream, write, checkpoint).outputMode("update")
+
+
+def read_updates(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
+    """Current result of :func:`write_updates`: the row of the newest batch per key."""
+    return ranking.latest_per_key(spark.read.parquet(target), keys, "_batch").drop("_batch")
 
 
 def daily_counts(stream: DataFrame, ts: str, by: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """Events per day and group, final once the watermark passes the day."""
+    """Events per day and group; a day's state is dropped once the watermark passes it."""
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, "1 day"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").cast("date").alias("day"), *by, "n")
     )
-
-
-__all__ = [
-    "append_files",
-    "daily_counts",
-    "first_per_order",
-    "latest_per_key",
-    "newest_match",
-    "read_files",
-    "read_latest",
-    "touches_of_orders",
-    "W",
-]

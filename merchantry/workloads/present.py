@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 DIGITS = 4
+# Sums this large are compared to the penny: their fourth digit is summation noise.
+LARGE, LARGE_DIGITS = 1e6, 2
+# Added before rounding: an average that ends in exactly half a unit then rounds
+# up everywhere, whatever the last bit of the sum in each engine.
+NUDGE = 1e-7
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -14,7 +19,8 @@ def present(df: DataFrame) -> DataFrame:
         col = F.col(f"`{f.name}`")
         kind = f.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            col = F.round(col.cast("double"), DIGITS)
+            value = col.cast("double") + NUDGE
+            col = F.when(F.abs(value) >= LARGE, F.round(value, LARGE_DIGITS)).otherwise(F.round(value, DIGITS))
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
             col = col.cast("bigint")
         elif isinstance(kind, T.DateType):
@@ -30,7 +36,7 @@ def present_sql(source: str, columns: str) -> str:
     double, ``d:`` date, ``t:`` timestamp, or carry no tag."""
     forms = {
         "n": "cast({c} as bigint)",
-        "r": f"round(cast({{c}} as double), {DIGITS})",
+        "r": f"round(cast({{c}} as double) + {NUDGE}, case when abs(cast({{c}} as double)) >= {LARGE} then {LARGE_DIGITS} else {DIGITS} end)",
         "d": "cast(cast({c} as date) as varchar)",
         "t": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
         "": "{c}",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from merchantry.plans.semantic import MetricQuery
 from merchantry.plans.warehouse import MODELS, Warehouse
 from merchantry.session import prepare
-from merchantry.workloads import exports, oracle
+from merchantry.workloads import building_blocks as blocks, exports, oracle, reports
 from merchantry.workloads.present import present
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,8 @@ def _model(name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _model(name) for name in MODELS}
+    return {**{name: _model(name) for name in MODELS}, **blocks.BLOCKS, **reports.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle.table_sql(name) for name in MODELS}
+    return {**{name: oracle.table_sql(name) for name in MODELS}, **blocks.SQL, **reports.oracle_sql()}
