@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from merchantry.functions.scalars import any_of
+from merchantry.functions.scalars import any_of, lookup
 
 # Ad-naming words, tested in this order.
 REMARKETING_WORDS = ("REMARKETING", "RETARGETING", "EXISTING CUSTOMERS")
@@ -75,8 +75,7 @@ def audience_type(campaign: Column, adset: Column) -> Column:
 
 
 def fold_channel(group: Column) -> Column:
-    pairs = [F.lit(x) for kv in CHANNEL_FOLD.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), group), F.lit("Other"))
+    return lookup(group, CHANNEL_FOLD, F.lit("Other"))
 
 
 def source_medium_channel(source: Column, medium: Column) -> Column:
@@ -102,8 +101,7 @@ def brand_intent(term: Column, brand_terms) -> Column:
 
 
 def order_channel(code: Column) -> Column:
-    pairs = [F.lit(x) for kv in ORDER_CHANNELS.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.lit("other"))
+    return lookup(code, ORDER_CHANNELS, F.lit("other"))
 
 
 def business_email(domain: Column) -> Column:

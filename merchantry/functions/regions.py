@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from merchantry.functions.scalars import lookup
+
 # Postcode areas of each region.
 REGION_AREAS = {
     "London": "E EC N NW SE SW W WC BR CR DA EN HA IG KT RM SM TW UB WD",
@@ -24,5 +26,5 @@ ELSEWHERE = "International"
 
 def uk_region(area: Column) -> Column:
     """Region of a postcode area: one constant map lookup per row."""
-    pairs = [F.lit(x) for region, areas in REGION_AREAS.items() for a in areas.split() for x in (a, region)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), area), F.lit(ELSEWHERE))
+    region_of = {a: region for region, areas in REGION_AREAS.items() for a in areas.split()}
+    return lookup(area, region_of, F.lit(ELSEWHERE))

@@ -69,3 +69,14 @@ def any_of(conditions) -> Column:
     for c in conditions[1:]:
         out = out | c
     return out
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    """A literal string map, built as one expression."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    items = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in pairs.items())
+    return F.expr(f"map({items})")
+
+
+def lookup(key: Column, pairs: dict[str, str], default: Column) -> Column:
+    return F.coalesce(F.try_element_at(constant_map(pairs), key), default)

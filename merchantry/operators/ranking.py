@@ -70,24 +70,26 @@ def sequence_per_key(
     return out.select(*df.columns, name)
 
 
+def first_rows(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[str]) -> DataFrame:
+    """Row keys of the earliest row of each entity, as one map-side-combined ``min``."""
+    first = F.min(F.struct(F.col(ts).isNull().alias("_undated"), ts, *row_key)).alias("_first")
+    return df.groupBy(*entity).agg(first).select(*[F.col(f"_first.{k}").alias(k) for k in row_key])
+
+
 def mark_first(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[str], name: str) -> DataFrame:
     """1 on the earliest row of each entity, 0 on all others.
 
-    The earliest row is a ``min`` over (ts, row key), combined map-side, and is
-    joined back on the row key.  Row keys are unique, so an entity with very
-    many rows (or the null entity of all guests) spreads over all tasks.
+    The mark is joined back on the row key.  Row keys are unique, so an entity
+    with very many rows (or the null entity of all guests) spreads over all
+    tasks.
     """
-    first = F.min(F.struct(F.col(ts).isNull().alias("_undated"), ts, *row_key)).alias("_first")
-    marks = (
-        df.groupBy(*entity)
-        .agg(first)
-        .select(*[F.col(f"_first.{k}").alias(k) for k in row_key], F.lit(1).alias("_mark"))
-    )
+    marks = first_rows(df, entity, ts, row_key).withColumn("_mark", F.lit(1))
     joined = df.join(marks, list(row_key), "left")
     return joined.select(*[df[c] for c in df.columns], F.coalesce("_mark", F.lit(0)).alias(name))
 
 
 __all__ = [
+    "first_rows",
     "latest_per_key",
     "mark_first",
     "row_digest",

@@ -30,49 +30,63 @@ def last_touch(
     A touch counts from exactly ``lookback_days`` before the order up to the
     order's own instant; of two touches at one instant the greater id wins.
 
-    No order/touch pairs are built.  Time is cut into slots.  Inside the order's
-    own slot a running maximum over touches and orders in time order finds the
-    touch; for earlier slots only the newest touch of each (key, slot) can win,
-    which is a map-side-combined aggregate joined on (key, slot).  A profile
-    with very many events is therefore spread over its slots.
+    No order/touch pairs are built.  Time is cut into slots and rows meet by
+    (key, slot), so a profile with very many events spreads over its slots:
+
+    1. Inside a slot, a running maximum over touches and orders in time order
+       finds the touch of every order that has one in its own slot.
+    2. Of a slot's touches only the newest can matter to later slots.  It goes
+       on alone, and each order still without a touch asks the slots before it.
+    3. The newest answer per order wins.
+
+    Touches are read once; what passes step 1 is one row per (key, slot).
     """
     for name in orders.columns:
         if name.startswith("_"):
             raise ValueError(f"column name {name} is reserved")
+    known = [F.col(k).isNotNull() for k in keys]
+    for c in known:
+        orders, touches = orders.filter(c), touches.filter(c)
     touch = F.struct(
         F.col(touch_ts).alias("_ts"), F.col(touch_id).alias("_id"), *[F.col(c).alias(f"_c_{c}") for c in carry]
     )
     whole = F.struct(*[F.col(f"`{c}`") for c in orders.columns])
-    seen = (
-        touches.filter(F.col(touch_ts).isNotNull())
-        .withColumn("_touch", touch)
-        .select(*keys, _slot(touch_ts, slot_seconds).alias("_slot"), F.col(touch_ts).alias("_at"), "_touch")
+    seen = touches.filter(F.col(touch_ts).isNotNull()).select(
+        *keys, _slot(touch_ts, slot_seconds).alias("_slot"), F.col(touch_ts).alias("_at"), touch.alias("_touch")
     )
     placed = orders.filter(F.col(order_ts).isNotNull()).select(
         *keys, _slot(order_ts, slot_seconds).alias("_slot"), F.col(order_ts).alias("_at"), whole.alias("_order")
     )
-
     stream = seen.withColumn("_is_order", F.lit(0)).unionByName(
         placed.withColumn("_is_order", F.lit(1)), allowMissingColumns=True
     )
-    running = W.partitionBy(*keys, "_slot").orderBy("_at", "_is_order").rowsBetween(W.unboundedPreceding, 0)
-    same_slot = (
-        stream.withColumn("_touch", F.max("_touch").over(running))
-        .filter((F.col("_is_order") == 1) & F.col("_touch").isNotNull())
-        .select("_order", "_touch")
+    in_time = W.partitionBy(*keys, "_slot").orderBy("_at", "_is_order")
+    ranked = stream.withColumns(
+        {
+            "_seen": F.max("_touch").over(in_time.rowsBetween(W.unboundedPreceding, 0)),
+            "_newest": F.max("_touch").over(in_time.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+        }
     )
-
+    floor_ts = F.col(f"_order.{order_ts}") - F.make_dt_interval(F.lit(lookback_days))
+    is_order, hit = F.col("_is_order") == 1, F.col("_seen._ts") >= floor_ts
     back = -(-lookback_days * DAY // slot_seconds)
-    newest = seen.groupBy(*keys, "_slot").agg(F.max("_touch").alias("_touch"))
-    wanted = placed.withColumn("_slot", F.explode(F.sequence(F.col("_slot") - back, F.col("_slot") - 1)))
-    earlier = wanted.join(newest, [*keys, "_slot"]).select("_order", "_touch")
+    none = F.array().cast("array<bigint>")
+    slots = (
+        F.when(is_order & hit, F.array("_slot"))
+        .when(is_order, F.sequence(F.col("_slot") - back, F.col("_slot") - 1))
+        .when(F.col("_touch") == F.col("_newest"), F.array("_slot"))
+        .otherwise(none)
+    )
+    answers = F.when(is_order & hit, F.col("_seen")).when(~is_order, F.col("_touch"))
+    asked = ranked.select(*keys, "_order", answers.alias("_touch"), F.explode(slots).alias("_slot"))
 
-    floor_ts = F.col(f"_order.{order_ts}") - F.make_dt_interval(F.lit(lookback_days))
-    found = same_slot.unionByName(earlier).filter(F.col("_touch._ts") >= floor_ts)
-    best = (
-        found.withColumns({f"_o{i}": F.col(f"_order.{c}") for i, c in enumerate(order_id)})
-        .groupBy(*[f"_o{i}" for i in range(len(order_id))])
-        .agg(F.max(F.struct("_touch", "_order")).alias("_best"))
+    offered = F.max(F.when(F.col("_order").isNull(), F.col("_touch"))).over(W.partitionBy(*keys, "_slot"))
+    found = (
+        asked.withColumn("_touch", F.coalesce("_touch", offered))
+        .filter(F.col("_order").isNotNull() & (F.col("_touch._ts") >= floor_ts))
+        .withColumns({f"_o{i}": F.col(f"_order.{c}") for i, c in enumerate(order_id)})
     )
+    ids = [f"_o{i}" for i in range(len(order_id))]
+    best = found.groupBy(*ids).agg(F.max(F.struct("_touch", "_order")).alias("_best"))
     taken = [F.col(f"_best._touch._c_{c}").alias(c) for c in carry]
     return best.select("_best._order.*", F.col("_best._touch._ts").alias("touch_at"), *taken)

@@ -13,23 +13,24 @@ from merchantry.operators import combine, ranking
 def fct_orders(orders: DataFrame, refunds: DataFrame, per_store_first: bool = False) -> DataFrame:
     """One row per order with gross, net and after-return amounts.
 
-    Orders are moved once, by (order, store): refunds and first-order marks are
-    small aggregates that meet them on that same key.  By default a customer id
-    counts across stores; guests share the null id, so one guest order is first.
+    Refunds and first-order marks are merged into one small side first, so the
+    orders themselves are moved once, by (order, store).  By default a customer
+    id counts across stores; guests share the null id, so one guest order is
+    first.  (order, store) must be unique, as the declared checks demand.
     """
-    returned = refunds.select("order_id", "store_id", "refund_amount", "refund_subtotal")
-    zero = F.lit(0.0)
-    amount, subtotal = F.coalesce("refund_amount", zero), F.coalesce("refund_subtotal", zero)
+    key = ["order_id", "store_id"]
     entity = ["store_id", "customer_id"] if per_store_first else ["customer_id"]
-    flagged = ranking.mark_first(orders, entity, "created_at", ["order_id", "store_id"], "is_first_order")
-    flagged = flagged.join(returned, ["order_id", "store_id"], "left")
-    return flagged.withColumns(
+    firsts = ranking.first_rows(orders, entity, "created_at", key).withColumn("is_first_order", F.lit(1))
+    returned = refunds.select(*key, "refund_amount", "refund_subtotal")
+    side = combine.spine_join({"first": firsts, "returned": returned}, key)
+    amounts = ("refund_amount", "refund_subtotal")
+    joined = orders.join(side, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in amounts})
+    return joined.withColumns(
         {
-            "refund_amount": amount,
-            "refund_subtotal": subtotal,
+            "is_first_order": F.coalesce("is_first_order", F.lit(0)),
             "gross_sales": F.col("subtotal_price") + F.col("total_discounts"),
-            "net_sales": F.col("subtotal_price") - subtotal,
-            "total_sales_after_returns": F.col("total_price") - amount,
+            "net_sales": F.col("subtotal_price") - F.col("refund_subtotal"),
+            "total_sales_after_returns": F.col("total_price") - F.col("refund_amount"),
             "order_month": dates.month_start(F.col("created_date")),
         }
     )

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, functions as F
 
 from merchantry.config import Settings
-from merchantry.functions import classify, dates
+from merchantry.functions import classify, dates, scalars
 from merchantry.plans.semantic import Explore
 
 # Metric definitions by fact table.
@@ -179,8 +179,7 @@ def kpi_windows(as_of: date) -> dict[str, str]:
 
 def labelled(column: str, labels: dict[str, str]) -> Column:
     """Display label of a code; a code without one shows itself."""
-    pairs = [F.lit(x) for kv in labels.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.col(column))
+    return scalars.lookup(F.col(column), labels, F.col(column))
 
 
 def explores(settings: Settings, as_of: date | None = None) -> dict[str, Explore]:

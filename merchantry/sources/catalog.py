@@ -38,9 +38,12 @@ class Catalog:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def source(self, system: str, table: str, store: str | None = None) -> DataFrame:
-        given = self.frames.get((system, table, store))
+        key = (system, table, store)
+        given = self.frames.get(key)
         if given is not None:
-            return given() if callable(given) else given
+            if callable(given):
+                given = self.frames[key] = given()
+            return given
         if self.root is None:
             raise KeyError(f"no raw table {(system, table, store)}")
         return self.spark.read.format(self.fmt).load(self.path(system, table, store))

@@ -69,12 +69,25 @@ def versions(df: DataFrame, stale: dict[str, Column]) -> DataFrame:
     return out.withColumns({**changed, "_airbyte_extracted_at": F.col("_load.at")}).drop("_load")
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; one that comes in fewer pieces than there are cores is spread.
+
+    A small file with a single row group would leave one task with all the work
+    up to the first shuffle.  Large tables have many pieces and stay as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 class Exports:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{table}.parquet")
+        return read_spread(self.spark, f"{self.folder.rstrip('/')}/{table}.parquet")
 
     # shop --------------------------------------------------------------------
     def shop_orders(self, sid: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 DIGITS = 4
 # Sums this large are compared to the penny: their fourth digit is summation noise.
@@ -16,19 +16,20 @@ STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 def present(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
-        col = F.col(f"`{f.name}`")
-        kind = f.dataType
+        col, kind = f"`{f.name}`", f.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            value = col.cast("double") + NUDGE
-            col = F.when(F.abs(value) >= LARGE, F.round(value, LARGE_DIGITS)).otherwise(F.round(value, DIGITS))
+            value = f"(cast({col} as double) + {NUDGE}D)"
+            text = f"if(abs({value}) >= {LARGE}D, round({value}, {LARGE_DIGITS}), round({value}, {DIGITS}))"
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-            col = col.cast("bigint")
+            text = f"cast({col} as bigint)"
         elif isinstance(kind, T.DateType):
-            col = col.cast("string")
+            text = f"cast({col} as string)"
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            col = F.date_format(col, STAMP)
-        out.append(col.alias(f.name))
-    return df.select(*out)
+            text = f"date_format({col}, '{STAMP}')"
+        else:
+            text = col
+        out.append(f"{text} as `{f.name}`")
+    return df.selectExpr(*out)
 
 
 def present_sql(source: str, columns: str) -> str:

@@ -15,8 +15,15 @@ from merchantry.workloads.present import present
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_OPEN: dict[tuple[str, int, str], Warehouse] = {}
+
+
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    return Warehouse(prepare(spark), exports.catalog(spark, folder), exports.SETTINGS)
+    """Lazy tables over a folder; their plans (no rows) are kept for the session."""
+    key = (spark.sparkContext.applicationId, id(spark), folder)
+    if key not in _OPEN:
+        _OPEN[key] = Warehouse(prepare(spark), exports.catalog(spark, folder), exports.SETTINGS)
+    return _OPEN[key]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,7 @@ AS_OF = date(2001, 7, 31)
 MONTHS = ("2023-12", "2024-01")
 REPORT = ("2024-01-01", "2024-01-31")
 
-_WRITTEN: dict[tuple[str, str], "Written"] = {}
+_WRITTEN: dict[tuple[str, int, str], "Written"] = {}
 
 
 class Written(Warehouse):
@@ -42,7 +42,7 @@ class Written(Warehouse):
 
 
 def written(spark: SparkSession, folder: str) -> Written:
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, id(spark), folder)
     if key not in _WRITTEN:
         _WRITTEN[key] = Written(spark, folder)
     return _WRITTEN[key]
