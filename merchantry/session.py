@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 # UTC keeps date arithmetic independent of the machine; the adaptive settings
-# let Spark split skewed join partitions and merge small ones at run time.
+# let Spark split skewed join partitions, merge small ones, and broadcast a join
+# side once its measured size (not an estimate) is under the limit.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
 }
 
 
