@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 
 from merchantry.config import Settings
-from merchantry.functions import classify, dates, scalars
-from merchantry.plans.semantic import Explore
+from merchantry.functions import classify, dates
+from merchantry.plans.semantic import Explore, Labelled, MonthLabel
 
 # Metric definitions by fact table.
 METRICS = {
@@ -177,11 +177,6 @@ def kpi_windows(as_of: date) -> dict[str, str]:
     return out
 
 
-def labelled(column: str, labels: dict[str, str]) -> Column:
-    """Display label of a code; a code without one shows itself."""
-    return scalars.lookup(F.col(column), labels, F.col(column))
-
-
 def explores(settings: Settings, as_of: date | None = None) -> dict[str, Explore]:
     metrics = {table: dict(defs) for table, defs in METRICS.items()}
     metrics["fct_marketing_kpis_daily"] = kpi_windows(as_of or date.today())
@@ -190,12 +185,12 @@ def explores(settings: Settings, as_of: date | None = None) -> dict[str, Explore
     dims: dict[str, dict] = {table: {} for table in metrics}
     labels = settings.display_labels()
     for table in STORE_LABELLED:
-        dims[table]["store_id"] = lambda: labelled("store_id", labels)
+        dims[table]["store_id"] = Labelled("store_id", labels)
     for table, month in MONTH_LABELLED.items():
-        dims[table]["order_month_label"] = lambda m=month: dates.month_label(F.col(m))
+        dims[table]["order_month_label"] = MonthLabel(month)
     dims["fct_orders"]["customer_type"] = lambda: F.when(F.col("is_first_order") == 1, NEW).otherwise(RETURNING)
-    dims["fct_ad_spend"]["audience_type"] = lambda: labelled("audience_type", AUDIENCE_LABELS)
-    dims["fct_google_ads_search_terms"]["brand_intent"] = lambda: labelled("brand_intent", INTENT_LABELS)
+    dims["fct_ad_spend"]["audience_type"] = Labelled("audience_type", AUDIENCE_LABELS)
+    dims["fct_google_ads_search_terms"]["brand_intent"] = Labelled("brand_intent", INTENT_LABELS)
     dims["fct_ga_source_medium"]["channel"] = lambda: classify.source_medium_channel(
         F.col("session_source"), F.col("session_medium")
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from merchantry.functions import dates, scalars
 from merchantry.operators import combine
 
 
@@ -39,6 +41,35 @@ class Calc:
     b: str | None = None
 
 
+@dataclass(frozen=True)
+class Labelled:
+    """A code column shown under labels; a code without a label shows itself."""
+
+    column: str
+    labels: dict[str, str]
+
+    def __call__(self) -> Column:
+        return scalars.lookup(F.col(self.column), self.labels, F.col(self.column))
+
+    def stored(self, shown: Sequence) -> list:
+        """Codes shown as any of the given values."""
+        codes = [code for code, label in self.labels.items() if label in shown]
+        return codes + [value for value in shown if value not in self.labels]
+
+
+@dataclass(frozen=True)
+class MonthLabel:
+    """A first-of-month date column shown as ``yyyy-MM``."""
+
+    column: str
+
+    def __call__(self) -> Column:
+        return dates.month_label(F.col(self.column))
+
+    def stored(self, shown: Sequence) -> list:
+        return [date(int(v[:4]), int(v[5:7]), 1) for v in shown if re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", v)]
+
+
 @dataclass(frozen=True)
 class Explore:
     """A fact table with its metrics (SQL aggregates) and derived dimensions."""
@@ -71,11 +102,18 @@ class MetricQuery:
 
 
 def condition(explore: Explore, f: Filter, as_of: Column) -> Column:
+    """Filter as a Column.
+
+    Comparisons with displayed values are turned into comparisons of the stored
+    column, so they reach the scan (partition pruning, row-group statistics).
+    """
     col = explore.dimension(f.field)
-    if f.op == "equals":
-        return col.isin(*f.values) if len(f.values) > 1 else col == f.values[0]
-    if f.op == "notEquals":
-        return col.isNull() | ~col.isin(*f.values)
+    if f.op in ("equals", "notEquals"):
+        rule, values = explore.dimensions.get(f.field), list(f.values)
+        if hasattr(rule, "stored"):
+            col, values = F.col(rule.column), rule.stored(values)
+        hit = col.isin(*values) if values else F.lit(False)
+        return hit if f.op == "equals" else col.isNull() | ~hit
     if f.op == "isNull":
         return col.isNull()
     if f.op == "isNotNull":

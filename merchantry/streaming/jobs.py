@@ -52,7 +52,7 @@ def latest_per_key(
         )
         before = read_latest(spark, target, before=batch_id)
         if before is not None:
-            touched = fresh.select("_bucket").distinct()
+            touched = fresh.select("_bucket").distinct()  # at most ``buckets`` rows, safe to broadcast
             fresh = fresh.unionByName(before.join(F.broadcast(touched), "_bucket", "left_semi"))
             fresh = ranking.latest_per_key(fresh, keys, recency, order)
         (

@@ -112,14 +112,14 @@ view(
 )
 view(
     "stg_shopify__order_refunds",
-    """
-    with back as (select * from lineitem where l_returnflag = 'R' and l_orderkey % 2 = 0),
+    f"""
+    with back as (select * from lineitem where l_returnflag = 'R'),
     paid as (
       select l_orderkey as order_id, sum(l_extendedprice) as refund_amount, max(l_shipdate) as last_refunded_at
       from back where l_linestatus = 'F' group by 1),
     goods as (
       select l_orderkey as order_id, sum(round(l_extendedprice * 0.8, 2)) as refund_subtotal from back where l_tax > 0 group by 1)
-    select coalesce(paid.order_id, goods.order_id) as order_id, 'alpha' as store_id,
+    select coalesce(paid.order_id, goods.order_id) as order_id, {_store('coalesce(paid.order_id, goods.order_id)')} as store_id,
       coalesce(refund_amount, 0) as refund_amount, coalesce(refund_subtotal, 0) as refund_subtotal, last_refunded_at
     from paid full join goods on paid.order_id = goods.order_id
     """,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from merchantry import Settings, Store
 from merchantry.plans import charts, checks, metrics
+from merchantry.sources import sinks
 from merchantry.plans.semantic import Calc, Explore, Filter, MetricQuery, metric_query
 from tests.conftest import rows
 
@@ -103,3 +104,24 @@ def test_checks(spark):
         ("unique_combination", "id,kind", 0),
     ]
     assert declared.count() == 6
+
+
+def test_displayed_values_filter_the_stored_column(spark, tmp_path):
+    data = [("alpha", date(2024, 1, 1), 1), ("beta", date(2024, 2, 1), 2), ("gamma", date(2024, 2, 1), 4), (None, None, 8)]
+    df = spark.createDataFrame(data, "store_id string, order_month date, sessions long")
+    sinks.write_table(df, f"{tmp_path}/t", ("order_month",))
+    table = spark.read.parquet(f"{tmp_path}/t")
+    explore = metrics.explores(Settings())["fct_ga_sessions"]
+
+    def total(*filters):
+        query = MetricQuery(explore.table, (), ("total_ga_sessions",), tuple(filters))
+        out = metric_query(table, explore, query)
+        return out.collect()[0][0], out._jdf.queryExecution().executedPlan().toString()
+
+    assert total(Filter("store_id", "equals", ("Alpha Store",)))[0] == 1
+    assert total(Filter("store_id", "equals", ("gamma", "Beta Store")))[0] == 6
+    assert total(Filter("store_id", "equals", ("alpha",)))[0] is None  # shown under its label only
+    assert total(Filter("store_id", "notEquals", ("Alpha Store",)))[0] == 14
+    got, plan = total(Filter("order_month_label", "equals", ("2024-02", "not a month")), Filter("store_id", "equals", ("Beta Store",)))
+    assert got == 2
+    assert "PushedFilters: [In(store_id" in plan and "PartitionFilters: [isnotnull(order_month" in plan
