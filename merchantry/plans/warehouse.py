@@ -18,7 +18,7 @@ from merchantry.plans import staging_crm as crm, staging_email as email, staging
 from merchantry.plans import staging_stock as stock, staging_traffic as traffic
 from merchantry.plans.semantic import MetricQuery, metric_query
 from merchantry.sources.catalog import Catalog
-from merchantry.sources.sinks import write_table
+from merchantry.sources.loads import full_refresh
 
 GA = "google_analytics"
 SOURCE_MEDIUM_REPORT = "traffic_acquisition_session_source_medium_report"
@@ -171,9 +171,12 @@ class Warehouse:
         return df
 
     def materialize(self, name: str, folder: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write a fact and let everything built later read the written copy."""
-        path = f"{folder.rstrip('/')}/{name}"
-        write_table(self.table(name), path, partition_by)
+        """Write a table as a new version and let everything built later read it.
+
+        The table is built anew from what it depends on, so it can be written
+        again; readers keep the old version until the new one is complete.
+        """
+        path = full_refresh(MODELS[name](self), f"{folder.rstrip('/')}/{name}", partition_by=partition_by)
         self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchantry.operators.combine import union_all
+from merchantry.sources.sinks import write_table
 
 # Fixed value: where incremental loads begin.
 START = "2020-01-01 00:00:00"
@@ -38,7 +39,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def full_refresh(df: DataFrame, root: str, version: str | None = None) -> str:
+def full_refresh(
+    df: DataFrame, root: str, version: str | None = None, partition_by: tuple[str, ...] = ()
+) -> str:
     """Write a complete new version beside the old one and return its folder.
 
     A version counts once its commit marker is there, so readers see the whole
@@ -46,7 +49,7 @@ def full_refresh(df: DataFrame, root: str, version: str | None = None) -> str:
     """
     version = version or datetime.now().strftime("%Y%m%d%H%M%S%f")
     path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
+    write_table(df, path, partition_by, mode="errorifexists")
     return path
 
 

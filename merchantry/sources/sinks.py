@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite a parquet table.
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """Write a parquet table.
 
     With partition columns the rows are first rebalanced on them: files get an
     even size, a large month is split over several, small ones are not scattered.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -73,3 +73,17 @@ def test_invariants(spark, small):
     by_channel = house.table("fct_ga_channel_sessions").agg(F.sum("sessions")).collect()[0][0]
     assert by_channel == house.table("fct_ga_sessions").agg(F.sum("sessions")).collect()[0][0]
     assert house.table("fct_orders").filter("gross_sales < net_sales - 0.005").count() == 0
+
+
+def test_tables_can_be_written_again(spark, small, tmp_path):
+    from merchantry.sources.loads import read_current
+    from merchantry.workloads import exports
+
+    house = reports.Warehouse(spark, exports.catalog(spark, small), exports.SETTINGS)
+    lazy = house.table("fct_klaviyo_subscriber_growth").count()
+    for _ in range(2):
+        house.materialize("fct_klaviyo_subscriber_growth", str(tmp_path), ("order_month",))
+    assert house.view("fct_klaviyo_subscriber_growth").count() == lazy
+    assert spark.sql("select * from fct_klaviyo_subscriber_growth").count() == lazy
+    root = f"{tmp_path}/fct_klaviyo_subscriber_growth"
+    assert read_current(spark, root).count() == lazy and "version" not in read_current(spark, root).columns
