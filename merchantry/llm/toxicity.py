@@ -23,13 +23,14 @@ BLANKED = bytes.maketrans(BLANK, b" " * len(BLANK))
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    """``most_labelled`` bounds the labelled texts that are learned from; features are word hashes."""
+    """Bounds: texts learned from, and words with a weight (each in at least ``least_texts`` of them)."""
 
-    buckets: int = 1 << 18
     most_labelled: int = 24_000
-    rounds: int = 24
-    step: float = 0.5
-    decay: float = 2e-4
+    most_words: int = 1 << 16
+    least_texts: int = 4
+    rounds: int = 20
+    step: float = 0.4
+    decay: float = 0.02
     threshold: float = 0.3
 
 
@@ -59,30 +60,32 @@ class Bags:
         return np.bincount(self.bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=self.n_bags)
 
 
-def bags_of(chunk: Chunk, buckets: int) -> Bags:
-    """A sentence's words count once each; sentences without words are left out."""
+def bags_of(chunk: Chunk, words: np.ndarray) -> Bags:
+    """Sentences with a word; features are places in ``words`` (sorted hashes), once per sentence, other words have none."""
     stop = next((i for i, w in enumerate(chunk.words) if w == b"."), -1)
-    hashed = (chunk.hashes() % np.uint64(buckets)).astype(np.int64)
+    hashed = chunk.hashes()
+    place = np.minimum(np.searchsorted(words, hashed), max(0, len(words) - 1))
+    place = np.where(words[place] == hashed, place, -1) if len(words) else np.full(len(hashed), -1)
     is_end = chunk.stream == stop
     doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
     ended = np.cumsum(is_end) - is_end
     word = np.flatnonzero(~is_end)
-    key = (doc[word] + ended[word]) * np.int64(buckets) + hashed[chunk.stream[word]] if len(word) else np.zeros(0, np.int64)
-    # doc + ends so far grows by one at each sentence end and at each document's end
-    key = np.unique(key)
-    place, feature = key // buckets, key % buckets
-    places, sentence = np.unique(place, return_inverse=True)
-    first_word = np.zeros(len(places), np.int64)
-    at = (doc[word] + ended[word]) if len(word) else np.zeros(0, np.int64)
+    # documents so far plus ends so far: grows at the end of each sentence and of each document
+    at = doc[word] + ended[word]
     lead = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
-    first_word[:] = word[lead]
-    bag = doc[first_word]
-    ends_before = np.concatenate([[0], np.cumsum(is_end)])[chunk.starts[:-1]] if len(chunk.lengths) else np.zeros(0, np.int64)
-    return Bags(feature, sentence.astype(np.int64), bag, len(chunk.lengths), ended[first_word] - ends_before[bag] if len(bag) else bag)
+    sentence = np.cumsum(lead) - 1
+    bag = doc[word[lead]]
+    ends_before = np.concatenate([[0], np.cumsum(is_end)])[chunk.starts[:-1]]
+    feature = place[chunk.stream[word]] if len(word) else np.zeros(0, np.int64)
+    key = np.unique(sentence[feature >= 0] * np.int64(len(words) + 1) + feature[feature >= 0])
+    return Bags(key % (len(words) + 1), key // (len(words) + 1), bag, len(chunk.lengths), ended[word[lead]] - ends_before[bag])
 
 
 @dataclass(frozen=True)
 class ToxicModel:
+    """A weight for each word of a sorted array of hashes, and the bias of a sentence."""
+
+    words: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -92,100 +95,108 @@ class ToxicModel:
         return -np.expm1(bags.log_clean(p)), p
 
 
-def _sampled(labelled: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` distinct texts, those with the smallest hashes; each counts once, toxic if any copy is."""
-    hashed = labelled.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    once = hashed.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    once = written(once, "labelled")
-    share = min(1.0, most / max(1, once.count()))
-    picked = once.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("doc_id", F.col("toxic").alias("y"))
-    return labelled.join(picked.hint("shuffle_hash"), "doc_id").select("text", "y")
+def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(text, y) of at most ``most`` distinct labelled texts, those with the smallest hashes; toxic if any copy is.
+
+    Labels meet hashes of texts; only the sample, bounded by ``most``, is broadcast to
+    find its texts.
+    """
+    given = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(given, "doc_id")
+    picked = hashed.groupBy("h").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id")).orderBy("h").limit(most)
+    picked = written(picked, "picked")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    return written(rows.where(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("h")).select("text", "y"), "labelled-sample")
+
+
+def _sparse(values: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(values)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values[at], pa.float64())], names=["at", "value"])
 
 
-def train(labelled: DataFrame, conf: ToxicConfig = ToxicConfig()) -> ToxicModel:
-    """A model from (doc_id, text, toxic) with labels 0 or 1 (rows with other labels are left out).
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    rows = parts.groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    out[rows["at"].to_numpy(np.int64)] = rows["value"].to_numpy()
+    return out
 
-    Bags are written once; each round the tasks sum the gradient of their bags over
-    the fixed number of features, and the driver adds the partial sums and steps
-    (Adam).  Without labelled rows every score is near 0.
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(h, clean, toxic): in how many clean and toxic texts of the sample each word is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, lower=True, split=split_words):
+            doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
+            pair = np.unique(doc * np.int64(len(chunk.words) + 1) + chunk.stream)
+            word, y = pair % (len(chunk.words) + 1), np.array(chunk.rows.column("y").to_pylist(), np.int64)[pair // (len(chunk.words) + 1)]
+            both = [pa.array(np.bincount(word[y == k], minlength=len(chunk.words)), pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.hashes().view(np.int64)), *both], names=["h", "clean", "toxic"])
+
+    found = sample.mapInArrow(run, "h long, clean long, toxic long")
+    return found.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, conf: ToxicConfig = ToxicConfig()) -> ToxicModel:
+    """A model from the rows of ``docs`` (doc_id, text) with a label 0 or 1 in ``labels`` (doc_id, toxic); repeated labels: the highest.
+
+    Bags are written once.  Each round the tasks sum the gradient of their bags over
+    the bounded number of words, and the driver adds the sums and steps (Adam).
+    Without toxic rows every score is near 0.
     """
-    rows = _sampled(labelled.where("toxic in (0, 1)"), conf.most_labelled)
+    spark = docs.sparkSession
+    sample = sampled(docs, labels, conf.most_labelled)
+    n_clean, n_toxic = sample.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    if not n_toxic:
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -12.0)
+    total = F.col("clean") + F.col("toxic")
+    top = word_counts(sample).where(total >= conf.least_texts).orderBy(total.desc(), "h").limit(conf.most_words).toPandas()
+    words = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    words, clean, toxic = words[order], top["clean"].to_numpy(float)[order], top["toxic"].to_numpy(float)[order]
+    n_words = len(words)
+    known = spark.sparkContext.broadcast(words)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, lower=True, split=split_words):
-            bags = bags_of(chunk, conf.buckets)
+            bags = bags_of(chunk, known.value)
             y = np.array(chunk.rows.column("y").to_pylist(), np.int32)
             parts = [bags.feature.astype(np.int32), bags.sentence.astype(np.int32), bags.bag.astype(np.int32), y]
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["feature", "sentence", "bag", "y"])
 
-    bags = written(rows.mapInArrow(featured, "feature binary, sentence binary, bag binary, y binary"), "bags")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Bags, np.ndarray]]:
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("feature", "sentence", "bag", "y")), strict=True):
-                feature, sentence, bag, y = (np.frombuffer(x, np.int32).astype(np.int64) for x in row)
-                yield Bags(feature, sentence, bag, len(y), bag), y
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, conf.buckets + 1))
-        for b, y in read(batches):
-            label = y[b.bag[b.sentence]]
-            pair = np.unique(b.bag[b.sentence] * np.int64(conf.buckets) + b.feature)
-            label, feature = y[pair // conf.buckets], pair % conf.buckets
-            for k in (0, 1):
-                total[k, :-1] += np.bincount(feature[label == k], minlength=conf.buckets)
-                total[k, -1] += (y == k).sum()
-        yield _sparse(total.ravel())
-
-    def _sparse(values: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(values)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values[at], pa.float64())], names=["at", "value"])
-
-    def summed(parts: DataFrame, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        rows_ = parts.groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        out[rows_["at"].to_numpy(np.int64)] = rows_["value"].to_numpy()
-        return out
-
-    counts = summed(bags.mapInArrow(counted, "at int, value double"), 2 * (conf.buckets + 1)).reshape(2, -1)
-    clean, toxic = counts[0, :-1], counts[1, :-1]
-    n_clean, n_toxic = counts[0, -1], counts[1, -1]
-    # the start: how much more often a word is in toxic documents, shrunk for rare words
+    bags = written(sample.mapInArrow(featured, "feature binary, sentence binary, bag binary, y binary"), "bags")
+    # the start: how much more often a word is in toxic texts, shrunk for rare words; words only ever add
+    # evidence, else the many harmless words of a sentence would outweigh the one that offends
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     support = toxic + clean
-    weights = np.clip(odds * support / (support + 20.0), -1.0, 6.0)
-    bias = -7.0
-    if not n_toxic:
-        return ToxicModel(np.zeros(conf.buckets), -12.0)
-    spark = labelled.sparkSession
-    m = np.zeros(conf.buckets + 1)
-    v = np.zeros(conf.buckets + 1)
-    n = n_clean + n_toxic
+    weights = np.clip(odds * support / (support + 5.0), 0.0, 10.0)
+    bias = -7.5
+    m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for turn in range(1, conf.rounds + 1):
-        held = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
+        held = spark.sparkContext.broadcast((weights, bias))
 
         def gradient(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             w, b0 = held.value
-            w = w.astype(np.float64)
-            total = np.zeros(conf.buckets + 1)
-            for b, y in read(batches):
-                p = b.sentence_scores(w, b0)
-                log_clean = b.log_clean(p)
-                # of -log likelihood: d/dz = p for clean bags, -p (1 - P) / P for toxic ones, P the bag's score
-                score = np.maximum(-np.expm1(log_clean), 1e-9)
-                factor = np.where(y == 1, -np.exp(log_clean) / score, 1.0)
-                dz = p * factor[b.bag]
-                total[:-1] += np.bincount(b.feature, dz[b.sentence], minlength=conf.buckets)
-                total[-1] += dz.sum()
+            total = np.zeros(n_words + 1)
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("feature", "sentence", "bag", "y")), strict=True):
+                    feature, sentence, bag, y = (np.frombuffer(x, np.int32).astype(np.int64) for x in row)
+                    b = Bags(feature, sentence, bag, len(y), bag)
+                    p = b.sentence_scores(w, b0)
+                    log_clean = b.log_clean(p)
+                    # d/dz of the negative log likelihood: p in a clean bag, -p (1 - P) / P in a toxic one with score P
+                    score = np.maximum(-np.expm1(log_clean), 1e-9)
+                    dz = p * np.where(y == 1, -np.exp(log_clean) / score, 1.0)[bag]
+                    total[:-1] += np.bincount(feature, dz[sentence], minlength=n_words)
+                    total[-1] += dz.sum()
             yield _sparse(total)
 
-        g = summed(bags.mapInArrow(gradient, "at int, value double"), conf.buckets + 1) / n
-        g[:-1] += conf.decay * weights / np.sqrt(n)
+        g = _summed(bags.mapInArrow(gradient, "at int, value double"), n_words + 1)
+        g[:-1] += conf.decay * weights
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        change = conf.step * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-4)
-        weights, bias = weights - change[:-1], float(bias - change[-1])
+        change = conf.step * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-3)
+        weights, bias = np.maximum(weights - change[:-1], 0.0), float(bias - change[-1])
         held.unpersist()
-    return ToxicModel(weights, bias)
+    return ToxicModel(words, weights, bias)
 
 
 SCORED = "doc_id long, score double, n_sentences long, offending array<struct<sentence:long,score:double>>"
@@ -197,13 +208,12 @@ def score(docs: DataFrame, model: ToxicModel, conf: ToxicConfig = ToxicConfig())
     ``offending`` lists the sentences (numbered from 0 in the text) with a score of at
     least the threshold.  A null or blank text has no sentence and score 0.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b0 = held.value
         for chunk in chunks(batches, lower=True, split=split_words):
-            bags = bags_of(chunk, conf.buckets)
-            scores, p = ToxicModel(w.astype(np.float64), b0).scores(bags)
+            bags = bags_of(chunk, held.value.words)
+            scores, p = held.value.scores(bags)
             bad = np.flatnonzero(p >= conf.threshold)
             spans = pa.StructArray.from_arrays([pa.array(bags.number[bad], pa.int64()), pa.array(p[bad])], names=["sentence", "score"])
             ends = np.concatenate([[0], np.cumsum(np.bincount(bags.bag[bad], minlength=bags.n_bags))]).astype(np.int32)
@@ -220,20 +230,13 @@ def score(docs: DataFrame, model: ToxicModel, conf: ToxicConfig = ToxicConfig())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents; repeated labels of a document: the highest."""
-    given = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(given.hint("shuffle_hash"), "doc_id")
-
-
 def drop_toxic(docs: DataFrame, model: ToxicModel, conf: ToxicConfig = ToxicConfig()) -> DataFrame:
     """The rows of ``docs`` scored below the threshold, with their columns, in one pass over the texts."""
-    held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b0 = held.value
         for chunk in chunks(batches, lower=True, split=split_words):
-            scores, _ = ToxicModel(w.astype(np.float64), b0).scores(bags_of(chunk, conf.buckets))
+            scores, _ = held.value.scores(bags_of(chunk, held.value.words))
             yield from chunk.rows.filter(pa.array(scores < conf.threshold)).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
