@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from merchantry.llm.common import chunks
@@ -66,14 +65,13 @@ def _answers(requests: DataFrame, conf: BpeConfig) -> DataFrame:
     """(key, blob): for each chunk, numbers of words with their ids."""
 
     def packed(numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-        head = np.array([len(numbers), len(ids)], "<u4")
-        raw = np.concatenate([head, numbers.astype("<u4"), lengths.astype("<u4"), ids.astype("<u4")]).tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(raw)
+        head = np.array([len(numbers)], np.int64)
+        return pack(np.concatenate([head, np.diff(numbers, prepend=0), lengths, ids]))
 
     def emit(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, numbers, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((numbers, keys))
         cuts = np.flatnonzero(np.diff(keys[order])) + 1
         out_keys, blobs = [], []
         for own in np.split(order, cuts):
@@ -134,11 +132,11 @@ def _with_words(docs: DataFrame, conf: BpeConfig, out: pa.Schema, ddl: str, make
         n_words = left.column("words")[0].as_py()
         ids: list[bytes | None] = [None] * n_words
         for blob in right.column("blob").to_pylist():
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
-            n, m = int(raw[0]), int(raw[1])
-            ends = np.cumsum(raw[2 + n : 2 + 2 * n].astype(np.int64)) * 4
-            data = raw[2 + 2 * n : 2 + 2 * n + m].tobytes()
-            for number, a, b in zip(raw[2 : 2 + n].tolist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+            raw = unpack(blob)
+            n = int(raw[0])
+            ends = np.cumsum(raw[1 + n : 1 + 2 * n].astype(np.int64)) * 4
+            data = raw[1 + 2 * n :].tobytes()
+            for number, a, b in zip(np.cumsum(raw[1 : 1 + n].astype(np.int64)).tolist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
                 ids[number] = data[a:b]
         if any(x is None for x in ids):
             raise RuntimeError("words of a chunk have no ids: the documents were not the same in both passes; write them first")
