@@ -36,7 +36,9 @@ class NearConfig:
     bands: int = 25
     band_rows: int = 5
     members_per_task_group: int = 256
-    leader_rounds: int = 8
+    leader_rounds: int = 5
+    held_block: int = 384
+    streamed_block: int = 1024
 
 
 def shingle_sets(chunk: Chunk, k: int) -> Iterator[np.ndarray]:
@@ -148,15 +150,88 @@ def _verified(pairs: DataFrame, texts: DataFrame, conf: NearConfig) -> DataFrame
     return placed.mapInArrow(run, "leader long, member long, linked boolean")
 
 
+def _can_link(inside: DataFrame, texts: DataFrame, conf: NearConfig) -> DataFrame:
+    """(rep, s) of the members of open buckets that may have a link out of their component.
+
+    s counts the member's shingles that another component of open buckets has as well;
+    no link can share more.  A member with less than the wanted share of them has none.
+    """
+    members = inside.select(F.col("rep").alias("id"), "comp").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, lower=True, limit=1 << 20):
+            ids, comps = (chunk.rows.column(c).to_numpy() for c in ("id", "comp"))
+            sets = list(shingle_sets(chunk, conf.words))
+            sizes = [len(x) for x in sets]
+            out = [pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(comps, sizes)), pa.array(np.concatenate(sets).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(out, names=["rep", "comp", "shingle"])
+
+    held = written(texts.join(members, "id").mapInArrow(run, "rep long, comp long, shingle long"), "open-shingles")
+    both = held.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+    return written(held.join(both, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("s")), "may-link")
+
+
+def _rest_links(inside: DataFrame, texts: DataFrame, conf: NearConfig) -> DataFrame:
+    """(leader, member) of the links inside the groups of ``inside`` (g, rep, comp, main) that leave a component.
+
+    In each group the members outside the main component are the query set, compared
+    with all members: block against block, one block of sets held while the other
+    streams past.  Rows sent grow with the group's size times the number of blocks,
+    and only links come out.
+    """
+    asked = F.col("comp") != F.col("main")
+    sizes = inside.groupBy("g").agg(F.ceil(F.count_if(asked) / conf.held_block).cast("int").alias("nl"), F.ceil(F.count("*") / conf.streamed_block).cast("int").alias("nr")).where("nl > 0")
+    rows = inside.join(sizes, "g").withColumn("h", F.xxhash64("rep"))
+    held = rows.where(asked).select("g", "rep", "comp", F.lit(0).alias("side"), F.pmod("h", "nl").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
+    streamed = rows.select("g", "rep", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), F.pmod("h", "nr").cast("int").alias("r"))
+    both = held.unionByName(streamed).withColumnRenamed("rep", "id").join(texts, "id")
+    placed = both.repartition("g", "l", "r").sortWithinPartitions("g", "l", "r", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ready = None, False
+        ids, comps, sets = [], [], []
+        for chunk in chunks(batches, lower=True, limit=4 << 20):
+            a, b = [], []
+            columns = [chunk.rows.column(c).to_pylist() for c in ("g", "l", "r", "side", "id", "comp")]
+            for g, left, right, side, doc, comp, items in zip(*columns, shingle_sets(chunk, conf.words), strict=True):
+                if now != (g, left, right):
+                    now, ready, ids, comps, sets = (g, left, right), False, [], [], []
+                if side == 0:
+                    ids.append(doc)
+                    comps.append(comp)
+                    sets.append(items)
+                    continue
+                if not sets:
+                    continue
+                if not ready:
+                    ready, sizes_ = True, np.array([len(x) for x in sets])
+                    owner, every = np.repeat(np.arange(len(sets)), sizes_), np.concatenate(sets)
+                    by = np.argsort(every, kind="stable")
+                    owner, every = owner[by], every[by]
+                    id_array, comp_array = np.array(ids), np.array(comps)
+                lo, hi = np.searchsorted(every, items, "left"), np.searchsorted(every, items, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                same = np.bincount(owner[at], minlength=len(ids))
+                good = (100 * same >= conf.percent * (sizes_ + len(items) - same)) & (comp_array != comp)
+                a += id_array[good].tolist()
+                b += [doc] * int(good.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["leader", "member"])
+
+    return placed.mapInArrow(run, "leader long, member long")
+
+
 def near_duplicates(docs: DataFrame, conf: NearConfig = NearConfig()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
     Texts with the same shingle set form a class, stood for by its smallest doc_id.
     Classes that share a band are candidates.  In each round every member of a band
-    bucket is compared with one leader of the bucket, and links join components;
-    buckets whose members are in one component are done.  When rounds no longer
-    join much, all pairs that share a bucket and are still in different components
-    are compared, so no link is lost.
+    bucket is compared with one leader of the bucket, the one that shares most bands
+    with others and has not led yet, and links join components; buckets whose members
+    are in one component are done.  When rounds no longer join much, the buckets of a
+    leader become a group, and its members outside the leader's component are compared
+    with all of the group, but for those that share too few shingles with any other
+    component, so no link is lost.
 
     Empty or null texts, and rows without doc_id, are linked with nothing; their
     component is their own doc_id and they stay.  Rows that repeat a doc_id get the
@@ -166,43 +241,57 @@ def near_duplicates(docs: DataFrame, conf: NearConfig = NearConfig()) -> DataFra
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = written(named.where(usable).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.where(usable).join(classes.hint("shuffle_hash"), ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["rep", "d1", "d2"])
-    entries = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    entries = written(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     entries = written(entries.join(shared, "bucket"), "band-entries")
-    ids = entries.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")
+    central = written(entries.groupBy("rep").agg(F.sum("c").alias("central")), "central")
+    entries = written(entries.drop("c").join(central, "rep"), "placed-entries")
+    ids = central.select(F.col("rep").alias("id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
     texts = written(texts, "candidate-texts")
-
-    comps = written(ids.select("rep", F.col("rep").alias("comp")), "comps")
-    tried: DataFrame | None = None
-    least, most = F.least("n", "ln"), F.greatest("n", "ln")
-    for turn in range(conf.leader_rounds + 1):
+    comps = written(central.select("rep", F.col("rep").alias("comp")), "comps")
+
+    def joined(links: DataFrame, comps: DataFrame) -> DataFrame:
+        ends = [comps.select(F.col("rep").alias(name), F.col("comp").alias(c)) for name, c in (("leader", "u"), ("member", "v"))]
+        merged = components(links.join(ends[0], "leader").join(ends[1], "member").select("u", "v")).select(F.col("node").alias("comp"), F.col("component"))
+        return written(comps.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comps")
+
+    def opened(placed: DataFrame, *order) -> DataFrame:
+        """Per bucket with several components the member that is first in ``order``."""
+        best = F.min(F.struct(*order, "rep", "comp", "n"))
+        found = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), best.alias("l")).where("lo < hi")
+        return found.select("bucket", F.col("l.rep").alias("leader"), F.col("l.comp").alias("lcomp"), F.col("l.n").alias("ln"))
+
+    first = (-F.col("central")).alias("c")
+    led = tried = None
+    for _ in range(conf.leader_rounds):
         placed = entries.join(comps, "rep")
-        spread = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp", "n")).alias("l"))
-        open_ = spread.where("lo < hi").select("bucket", F.col("l.rep").alias("leader"), F.col("l.comp").alias("lcomp"), F.col("l.n").alias("ln"))
-        if turn == conf.leader_rounds:  # what is left is compared in full
-            inside = placed.join(open_.select("bucket"), "bucket")
-            other = inside.select("bucket", F.col("rep").alias("leader"), F.col("comp").alias("lcomp"), F.col("n").alias("ln"))
-            pairs = inside.join(other, "bucket").where("leader < rep")
-        else:
-            pairs = placed.join(open_, "bucket").where("rep <> leader")
-        fits = (F.col("comp") != F.col("lcomp")) & (100 * least >= conf.percent * most)
-        pairs = pairs.where(fits).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), "leader", F.col("rep").alias("member"))
+        placed = placed.withColumn("led", F.lit(0)) if led is None else placed.join(led, "rep", "left").withColumn("led", F.coalesce("led", F.lit(0)))
+        fits = (F.col("comp") != F.col("lcomp")) & (100 * F.least("n", "ln") >= conf.percent * F.greatest("n", "ln"))
+        pairs = placed.alias("i").join(opened(placed, "led", first).alias("o"), (F.col("i.bucket") == F.col("o.bucket")) & fits)
+        pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), "leader", F.col("rep").alias("member"))
         pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("leader", "member")).alias("p"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b", "p.leader", "p.member"), "pairs")
-        n_pairs = pairs.count()
-        if not n_pairs:
-            if turn == conf.leader_rounds:
-                break
-            continue
-        links = written(_verified(pairs.select("leader", "member"), texts, conf), "links")
+        pairs = written(pairs.select("p.leader", "p.member"), "pairs")
+        links = written(_verified(pairs, texts, conf), "links")
+        n, n_linked = links.agg(F.count("*"), F.count_if("linked")).first()
+        if n_linked:
+            comps = joined(links.where("linked"), comps)
+        if 20 * n_linked <= n:
+            break
         failed = links.where("not linked").select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b"))
         tried = failed if tried is None else tried.unionByName(failed)
-        tied = links.where("linked").join(comps.select(F.col("rep").alias("leader"), F.col("comp").alias("u")), "leader").join(comps.select(F.col("rep").alias("member"), F.col("comp").alias("v")), "member")
-        merged = components(tied.select("u", "v")).select(F.col("node").alias("comp"), F.col("component"))
-        comps = written(comps.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comps")
+        heads = pairs.select(F.col("leader").alias("rep")).distinct().withColumn("led", F.lit(1))
+        led = heads if led is None else written(led.unionByName(heads).distinct(), "led")
+
+    placed = entries.join(comps, "rep")
+    heads = opened(placed, first).select("bucket", F.col("leader").alias("g"), F.col("lcomp").alias("main"))
+    inside = written(placed.join(heads, "bucket").select("g", "rep", "comp", "n", "main").distinct(), "open-groups")
+    can = _can_link(inside, texts, conf)
+    inside = inside.join(can, "rep").where(100 * F.col("s") >= conf.percent * F.col("n")).select("g", "rep", "comp", "main")
+    rest = written(_rest_links(written(inside, "rest"), texts, conf), "rest-links")
+    comps = joined(rest, comps)
     found = classes.join(comps, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
     linked = named.where(usable).join(found, ["d1", "d2"], "left").select("doc_id", "n_shingles", "component_id")
     alone = named.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

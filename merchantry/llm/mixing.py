@@ -99,11 +99,11 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def rounded(docs: DataFrame, most_blocks: int, conf: MixConfig) -> DataFrame:
+def rounded(docs: DataFrame, places: int, conf: MixConfig) -> DataFrame:
     """(pos, whole) of every fractional document (source_nr, place, pos, size, words).
 
-    ``place`` counts the documents of a source; ``place`` over the block size is the
-    block, at each level of the tree.
+    ``place`` is below ``places``, and a source's places follow each other; ``place``
+    over the block size is the block of a source, at each level of the tree.
     """
     rows, level, out = docs, 0, None
     while True:
@@ -113,8 +113,8 @@ def rounded(docs: DataFrame, most_blocks: int, conf: MixConfig) -> DataFrame:
         done = solved.select(F.explode("s.done").alias("d")).select("d.pos", "d.whole")
         out = done if out is None else out.unionByName(done)
         rows = solved.where("s.rest is not null").select("source_nr", "place", "s.rest.*")
-        most_blocks, level = -(-most_blocks // conf.block), level + 1
-        if most_blocks <= 1:
+        places, level = -(-places // conf.block), level + 1
+        if places <= 1:
             last = rows.select("pos", (_uniform(F.lit(conf.seed), F.lit(-1), "pos") * F.col("size") < F.col("words")).alias("whole"))
             return out.unionByName(last)
 
@@ -138,11 +138,8 @@ def mix_sources(docs: DataFrame, conf: MixConfig = MixConfig()) -> DataFrame:
     part = F.greatest(rate - whole, F.lit(0.0))
     joined = placed.join(starts, placed["source"].eqNullSafe(starts["source"])).select("doc_id", "size", "source_size", "target", "source_nr", F.col("nr").alias("pos"), whole.cast("long").alias("base"), part.alias("part"))
     joined = written(joined, "placed")
-    first = joined.groupBy("source_nr").agg(F.min("pos").alias("first"))
-    open_ = joined.where("size > 0 and part > 1e-9").join(first, "source_nr")
-    open_ = open_.select("source_nr", (F.col("pos") - F.col("first")).alias("place"), "pos", "size", (F.col("part") * F.col("size")).alias("words"))
-    most = sources.agg(F.max("n_docs")).first()[0] or 0
-    extra = rounded(open_, -(-most // conf.block), conf)
+    open_ = joined.where("size > 0 and part > 1e-9").select("source_nr", F.col("pos").alias("place"), "pos", "size", (F.col("part") * F.col("size")).alias("words"))
+    extra = rounded(open_, joined.count(), conf)
     copies = F.col("base") + F.when(F.coalesce("whole", F.lit(False)), 1).otherwise(0)
     result = joined.join(extra, "pos", "left").withColumn("copies", copies.cast("long"))
     return result.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
