@@ -60,6 +60,10 @@ def convert(col: Column, kind: T.DataType, to: str) -> Column:
         return F.to_json(col)
     if isinstance(kind, (T.NullType,)):
         return col.cast(to)
+    if isinstance(kind, T.StringType) and to in ("bigint", "long", "int", "integer"):
+        # whole numbers may be written as 12.0 or 1.2e1; other fractions round, as a cast does in the warehouse
+        whole = F.round(col.try_cast("double").try_cast("decimal(38,6)"), 0).try_cast(to)
+        return F.coalesce(col.try_cast(to), whole)
     return col.try_cast(to)
 
 

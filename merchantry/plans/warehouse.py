@@ -182,6 +182,7 @@ class Warehouse:
 
     # queries ---------------------------------------------------------------
     def query(self, query: MetricQuery, as_of: date | None = None) -> DataFrame:
+        as_of = as_of or self.spark.sql("select current_date()").first()[0]  # one clock for windows and filters
         explore = metrics.explores(self.settings, as_of)[query.explore]
         return metric_query(self.table(query.explore), explore, query, as_of)
 

@@ -54,13 +54,16 @@ def full_refresh(
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed version of a full-refresh table."""
+    """The newest committed version of a full-refresh table: by number, or by commit time where a version is no number."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/version=*/_SUCCESS")
     found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    folders = sorted(str(s.getPath().getParent().toString()) for s in found or [])
-    if not folders:
+    commits = {str(s.getPath().getParent().toString()): s.getModificationTime() for s in found or []}
+    if not commits:
         raise FileNotFoundError(f"no committed version under {root}")
-    return spark.read.parquet(folders[-1])
+    names = {folder: folder.rpartition("version=")[2] for folder in commits}
+    if all(n.isdecimal() for n in names.values()):
+        return spark.read.parquet(max(commits, key=lambda folder: int(names[folder])))
+    return spark.read.parquet(max(commits, key=lambda folder: (commits[folder], names[folder])))
 
 
 def load_health(

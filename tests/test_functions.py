@@ -131,6 +131,11 @@ def test_payload_forms_agree(spark, form):
     assert rows(out) == [(5, "x", 1.5, None, None, None), (None,) * 6]
 
 
+def test_whole_numbers_with_a_point(spark):
+    df = spark.createDataFrame([("12",), ("12.0",), ("1.2e1",), ("9007199254740993",), ("x",), (None,)], "q string")
+    assert [r[0] for r in df.select(payload.field(df, "q", "bigint")).collect()] == [12, 12, 12, 9007199254740993, None, None]
+
+
 def test_clean_rows(spark):
     df = spark.createDataFrame(
         [(1, (["x"],)), (2, ([],)), (3, (None,)), (4, None)], "id int, _airbyte_meta struct<changes: array<string>>"

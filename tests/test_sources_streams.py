@@ -49,6 +49,13 @@ def test_full_refresh_swaps_whole_versions(spark, tmp_path):
     assert loads.read_current(spark, root).count() == 5
 
 
+def test_versions_are_ordered_by_number(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in (9, 10):
+        loads.full_refresh(spark.range(n), root, str(n))
+    assert loads.read_current(spark, root).count() == 10
+
+
 def test_load_health(spark):
     tables = {"fresh": (landed(spark, 1), "at"), "old": (landed(spark, -90), "at"), "none": (landed(spark, 1).limit(0), "at")}
     got = loads.load_health(tables, F.lit("2024-01-02 00:00:00"))
