@@ -1,15 +1,17 @@
 """BPE over a table of distinct words: each is encoded once, and its ids are joined back by position.
 
 No token of a BPE tokenizer that drops white space crosses ASCII white space, so
-a text's ids are those of its words in order.  Words are split in Spark, equal
-words meet in one task, which has the tokenizer encode each once; the ids go
-back to the chunks that asked, and replace the words by position.  Decoding
+a text's ids are those of its words in order.  Words are split in Spark and dealt
+to buckets by hash; equal words meet in one task, which has the tokenizer encode
+each once; the ids go back to the chunks that asked, and replace the words by
+position.  Decoding
 looks each id up in the table of pieces, which has the tokenizer's fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -18,17 +20,25 @@ from dataclasses import dataclass, field
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from merchantry.llm.common import chunks
-from merchantry.llm.packed import batches_of, key_of, pack, unpack
+from merchantry.llm.packed import batches_of, from_planes, key_of, pack, planes, unpack
 
 
 @dataclass(frozen=True)
 class BpeConfig:
-    """The tokenizer's file, and the answers that a task packs together."""
+    """The tokenizer's file, the buckets of words, and what a task holds or packs at once.
+
+    A bucket's words are sent packed, one row per chunk.  ``held_words`` bounds memory:
+    a task with more distinct words than that starts its table afresh.
+    """
 
     path: str = field(default_factory=lambda: public_tokenizers.path("word_bpe_49k.json"))
+    buckets: int = 4096
+    held_words: int = 500_000
+    requests_at_once: int = 256
     answers_at_once: int = 200_000
 
 
@@ -40,15 +50,25 @@ def pieces(path: str) -> list[str]:
     return [by_id.get(i, "") for i in range(max(by_id) + 1)]
 
 
-def _requests(docs: DataFrame) -> DataFrame:
+def _requests(docs: DataFrame, conf: BpeConfig) -> DataFrame:
+    """(bucket, key, blob): the words of a chunk that hash to a bucket, and their numbers in the chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for chunk in chunks(batches):
-            n = len(chunk.words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.words, pa.binary()), pa.array(np.full(n, key_of(chunk))), pa.array(np.arange(n, dtype=np.int32))], names=["word", "key", "nr"]
-            )
+            if not chunk.words:
+                continue
+            bucket = (chunk.hashes() % np.uint64(conf.buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            held = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+            blobs = []
+            for own in held:
+                text = b"\n".join([chunk.words[i] for i in own.tolist()])
+                blobs.append(press.compress(len(own).to_bytes(4, "little") + planes(np.diff(own, prepend=0)) + text))
+            columns = [pa.array(bucket[[own[0] for own in held]]), pa.array(np.full(len(held), key_of(chunk))), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "key", "blob"])
 
-    return docs.select("text").mapInArrow(run, "word binary, key long, nr int")
+    return docs.select("text").mapInArrow(run, "bucket int, key long, blob binary")
 
 
 def _encoder(path: str) -> Callable[[list[bytes]], list[list[int]]]:
@@ -81,28 +101,34 @@ def _answers(requests: DataFrame, conf: BpeConfig) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.array(out_keys, np.int64)), pa.array(blobs, pa.binary())], names=["key", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(conf.path)
-        last, last_ids = None, np.zeros(0, np.uint32)
+        encode, press = _encoder(conf.path), zstandard.ZstdDecompressor()
+        known: dict[bytes, bytes] = {}
         held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(0).to_pylist()
-            new = np.fromiter((a != b for a, b in zip(words, [last, *words[:-1]], strict=True)), bool, len(words))
-            fresh = [w for w, f in zip(words, new, strict=True) if f]
-            found = [last_ids, *(np.array(x, np.uint32) for x in encode(fresh))]
-            at = np.cumsum(new)
-            lengths = np.array([len(x) for x in found], np.int64)
-            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), lengths[at], np.concatenate([found[i] for i in at])))
-            last, last_ids, n = words[-1], found[-1], n + len(words)
+        rows = (row for batch in batches for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        while some := list(itertools.islice(rows, conf.requests_at_once)):
+            words: list[bytes] = []
+            counts, numbers = [], []
+            for _, blob in some:
+                raw = press.decompress(blob)
+                count = int.from_bytes(raw[:4], "little")
+                counts.append(count)
+                numbers.append(np.cumsum(from_planes(raw[4 : 4 + 4 * count]).astype(np.int64)))
+                words += raw[4 + 4 * count :].split(b"\n")
+            if len(known) > conf.held_words:
+                known = {}
+            fresh = [w for w in dict.fromkeys(words) if w not in known]
+            known.update(zip(fresh, (np.array(x, "<u4").tobytes() for x in encode(fresh)), strict=True))
+            ids = [known[w] for w in words]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            held.append((np.repeat([key for key, _ in some], counts), np.concatenate(numbers), lengths, np.frombuffer(b"".join(ids), "<u4")))
+            n += len(words)
             if n >= conf.answers_at_once:
                 yield emit(held)
                 held, n = [], 0
         if held:
             yield emit(held)
 
-    by_word = requests.repartition("word").sortWithinPartitions("word")
-    return by_word.mapInArrow(run, "key long, blob binary")
+    return requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, blob binary")
 
 
 STREAM = pa.schema([("key", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("stream", pa.binary()), ("words", pa.int64())])
@@ -150,7 +176,7 @@ def _with_words(docs: DataFrame, conf: BpeConfig, out: pa.Schema, ddl: str, make
             parts.append(pa.Table.from_arrays([doc_ids, *(pa.array(c, f.type) for c, f in zip(zip(*columns, strict=True), list(out)[1:], strict=True))], schema=out))
         return pa.concat_tables(parts)
 
-    streams, answers = _streams(docs), _answers(_requests(docs), conf)
+    streams, answers = _streams(docs), _answers(_requests(docs, conf), conf)
     return streams.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(meet, ddl)
 
 

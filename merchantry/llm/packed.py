@@ -29,15 +29,22 @@ def key_of(chunk: Chunk) -> int:
     return int(np.uint64(h.intdigest()).view(np.int64))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes in four planes: small numbers leave the high planes empty."""
+    return np.ascontiguousarray(np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, their bytes in four planes, compressed: small numbers leave the high planes empty."""
-    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+    """The planes of the numbers, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(planes(numbers))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+    return from_planes(zstandard.ZstdDecompressor().decompress(blob))
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
