@@ -76,22 +76,29 @@ def first_rows(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[
     return df.groupBy(*entity).agg(first).select(*[F.col(f"_first.{k}").alias(k) for k in row_key])
 
 
+def once_per_key(mark: Column, row_key: Sequence[str], ts: str) -> Column:
+    """``mark`` on the earliest of the rows that repeat a row key, 0 on the others."""
+    nth = F.row_number().over(W.partitionBy(*row_key).orderBy(F.col(ts).asc_nulls_last()))
+    return F.when(nth == 1, mark).otherwise(F.lit(0))
+
+
 def mark_first(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[str], name: str) -> DataFrame:
     """1 on the earliest row of each entity, 0 on all others.
 
-    The mark is joined back on the row key.  Row keys are unique, so an entity
-    with very many rows (or the null entity of all guests) spreads over all
-    tasks.
+    The mark is joined back on the row key, so an entity with very many rows (or
+    the null entity of all guests) spreads over all tasks.  Of rows that repeat a
+    row key, one is marked.
     """
     marks = first_rows(df, entity, ts, row_key).withColumn("_mark", F.lit(1))
     joined = df.join(marks, list(row_key), "left")
-    return joined.select(*[df[c] for c in df.columns], F.coalesce("_mark", F.lit(0)).alias(name))
+    return joined.select(*[df[c] for c in df.columns], once_per_key(F.coalesce("_mark", F.lit(0)), row_key, ts).alias(name))
 
 
 __all__ = [
     "first_rows",
     "latest_per_key",
     "mark_first",
+    "once_per_key",
     "row_digest",
     "sequence_per_key",
     "top_n_per_group",

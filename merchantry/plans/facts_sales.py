@@ -16,7 +16,8 @@ def fct_orders(orders: DataFrame, refunds: DataFrame, per_store_first: bool = Fa
     Refunds and first-order marks are merged into one small side first, so the
     orders themselves are moved once, by (order, store).  By default a customer
     id counts across stores; guests share the null id, so one guest order is
-    first.  (order, store) must be unique, as the declared checks demand.
+    first.  Of an order landed several times, the earliest row alone is marked; its
+    rows meet under the key that joined them, so nothing moves again.
     """
     key = ["order_id", "store_id"]
     entity = ["store_id", "customer_id"] if per_store_first else ["customer_id"]
@@ -27,7 +28,7 @@ def fct_orders(orders: DataFrame, refunds: DataFrame, per_store_first: bool = Fa
     joined = orders.join(side, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in amounts})
     return joined.withColumns(
         {
-            "is_first_order": F.coalesce("is_first_order", F.lit(0)),
+            "is_first_order": ranking.once_per_key(F.coalesce("is_first_order", F.lit(0)), key, "created_at"),
             "gross_sales": F.col("subtotal_price") + F.col("total_discounts"),
             "net_sales": F.col("subtotal_price") - F.col("refund_subtotal"),
             "total_sales_after_returns": F.col("total_price") - F.col("refund_amount"),

@@ -41,16 +41,19 @@ def latest_per_key(
     Keys are laid out in hash buckets.  A batch is first cut to its newest row
     per key; then only the buckets it touches are read, merged and rewritten,
     each batch into its own generation folder, so a retried batch repeats the
-    same write and readers take the newest generation of every bucket.
+    same write and readers take the newest generation of every bucket.  A stream
+    that starts without a checkpoint, though the target is there, begins a new
+    epoch: its batches count from 0 again and still come after all earlier ones.
     """
+    epoch = _epoch(stream.sparkSession, target, checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, generation = batch.sparkSession, epoch * EPOCH + batch_id
         order = [F.col(c).desc_nulls_last() for c in ties]
         fresh = ranking.latest_per_key(batch, keys, recency, order).withColumn(
             "_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         )
-        before = read_latest(spark, target, before=batch_id)
+        before = read_latest(spark, target, before=generation)
         if before is not None:
             touched = fresh.select("_bucket").distinct()  # at most ``buckets`` rows, safe to broadcast
             fresh = fresh.unionByName(before.join(F.broadcast(touched), "_bucket", "left_semi"))
@@ -59,18 +62,34 @@ def latest_per_key(
             fresh.repartition(buckets, "_bucket")
             .write.mode("overwrite")
             .partitionBy("_bucket")
-            .parquet(f"{target}/_generation={batch_id:012d}")
+            .parquet(f"{target}/_generation={generation:018d}")
         )
 
     return stream_batches(stream, merge, checkpoint)
 
 
+# More batches than a stream ever has: generations of an epoch lie between its multiples.
+EPOCH = 10**12
+
+
+def _epoch(spark: SparkSession, target: str, checkpoint: str) -> int:
+    """The number of the target's current epoch; a missing checkpoint starts the next one, noted before any batch."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    marks, kept = hadoop(f"{target}/_epochs/*"), hadoop(f"{checkpoint}/metadata")
+    files = marks.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max((int(s.getPath().getName()) for s in files.globStatus(marks) or []), default=-1)
+    if last >= 0 and kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept):
+        return last
+    files.mkdirs(hadoop(f"{target}/_epochs/{last + 1}"))
+    return last + 1
+
+
 def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """Current rows of a table kept by :func:`latest_per_key`, with ``_bucket``."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_generation=*/_SUCCESS")
     found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    folders = sorted(s.getPath().getParent().toString() for s in found or [])
     generation = lambda f: int(f.rsplit("=", 1)[1])
+    folders = sorted((s.getPath().getParent().toString() for s in found or []), key=generation)
     folders = [f for f in folders if before is None or generation(f) < before]
     newest: dict[int, str] = {}
     for folder in folders:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchantry.operators.combine import union_all
 from merchantry.plans import checks, metrics
-from merchantry.plans.charts import charts, monthly_report
+from merchantry.plans.charts import attribution_report, charts, monthly_report
 from merchantry.plans.semantic import Filter, MetricQuery
 from merchantry.plans.warehouse import FACTS, STAGING, Warehouse
 from merchantry.session import prepare, shared_folder
@@ -22,6 +22,9 @@ SETTINGS = exports.SETTINGS
 AS_OF = date(2001, 7, 31)
 MONTHS = ("2023-12", "2024-01")
 REPORT = ("2024-01-01", "2024-01-31")
+SHOP_REPORT = ("2001-03-01", "2001-05-31")
+# Tables dated by web events; all others by orders.
+EVENT_DATED = ("fct_ga", "fct_klaviyo", "fct_campaign")
 
 _WRITTEN: dict[tuple[str, int, str], "Written"] = {}
 
@@ -185,9 +188,11 @@ def report_queries() -> dict[str, tuple[MetricQuery, date]]:
         out[f"metrics_{table}"] = (MetricQuery(table, tuple(dims.split()), tuple(explores[table].metrics)), AS_OF)
     for name, query in charts(SETTINGS, MONTHS).items():
         out[f"chart_{_key(name)}"] = (query, AS_OF)
-    for name, query in monthly_report(SETTINGS, *REPORT).items():
-        if query.explore.startswith(("fct_ga", "fct_klaviyo", "fct_campaign")) and query.metrics:
-            out[f"report_{_key(name)}"] = (query, AS_OF)
+    for report in (monthly_report, attribution_report):
+        of_events, of_orders = report(SETTINGS, *REPORT), report(SETTINGS, *SHOP_REPORT)
+        for name, query in of_events.items():
+            chosen = query if query.explore.startswith(EVENT_DATED) else of_orders[name]
+            out[f"report_{_key(name)}"] = (chosen, AS_OF)
     return out
 
 

@@ -110,6 +110,8 @@ def test_order_facts(spark):
     got = fs.fct_orders(staged, refunds_frame(spark, (1, "alpha", 3.0, 2.0)))
     # a customer counts across stores, all guests share one first order, ties go to the lower id
     assert rows(got.filter("is_first_order = 1"), "order_id") == [(4,), (5,), (6,)]
+    landed_twice = fs.fct_orders(staged.unionByName(staged), refunds_frame(spark))
+    assert rows(landed_twice.filter("is_first_order = 1"), "order_id") == [(4,), (5,), (6,)] and landed_twice.count() == 14
     per_store = fs.fct_orders(staged, refunds_frame(spark), per_store_first=True)
     assert rows(per_store.filter("is_first_order = 1"), "order_id") == [(2,), (4,), (5,), (6,)]
     one = got.filter("order_id = 1").collect()[0]

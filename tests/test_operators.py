@@ -51,6 +51,8 @@ def test_first_mark_per_entity_and_guests(spark):
     )
     got = ranking.mark_first(df, ["who"], "at", ["id"], "first")
     assert rows(got, "id", "first") == [(1, 1), (2, 0), (3, 0), (4, 1), (5, 0), (6, 1)]
+    twice = ranking.mark_first(df.unionByName(df), ["who"], "at", ["id"], "first")
+    assert rows(twice.filter("first = 1"), "id") == [(1,), (4,), (6,)] and twice.count() == 12
 
 
 def brute_touch(orders, touches, days):

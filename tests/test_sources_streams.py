@@ -131,6 +131,16 @@ def test_stream_latest_equals_batch(spark, tmp_path, event_stream):
     assert rows(jobs.read_latest(spark, f"{tmp_path}/out"), "who", "kind", "id") == rows(batch, "who", "kind", "id")
 
 
+def test_stream_latest_after_a_lost_checkpoint(spark, tmp_path):
+    target = f"{tmp_path}/out"
+    schema = event_files(spark, f"{tmp_path}/old", [(1, 1, "buy", T0, 1.0)], [(2, 1, "buy", T0 + timedelta(hours=1), 1.0), (3, 2, "buy", T0, 1.0)])
+    event_files(spark, f"{tmp_path}/new", [(4, 1, "buy", T0 + timedelta(hours=2), 1.0)])
+    for folder, progress in (("old", "first"), ("new", "second")):
+        stream = jobs.read_files(spark, f"{tmp_path}/{folder}", schema, files_per_batch=1)
+        finish(jobs.latest_per_key(stream, ["who"], "at", ["id"], target, f"{tmp_path}/{progress}", 4))
+    assert rows(jobs.read_latest(spark, target), "who", "id") == [(1, 4), (2, 3)]
+
+
 def test_stream_daily_counts_equal_batch(spark, tmp_path, event_stream):
     folder, stream = event_stream
     counts = jobs.daily_counts(stream, "at", ["kind"], delay="10 days")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from merchantry.plans.warehouse import FACTS, MODELS
-from merchantry.workloads import reports
+from merchantry.workloads import queries as workloads, reports
 
 entry = importlib.import_module("__spark_entry__")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -18,6 +18,7 @@ SAMPLE = [
     "contamination_audit", "quality_report", "pivot_month_status", "scalar_text", "scalar_dates_numbers",
     "metrics_fct_orders", "metrics_fct_ga_sessions", "metrics_dim_customer_unified", "chart_customer_mix_aov_split", "chart_gross_sales",
     "chart_return_order_rate_cin7_by_channel", "chart_cross_brand_month", "checks_facts_marketing", "stream_last_touch",
+    "report_combined_orders", "report_customer_mix_aov_split", "report_paid_search_shopping", "report_primary_attribution_sankey",
 ]
 
 
@@ -51,9 +52,11 @@ def test_query_agrees_with_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(workloads.oracle_sql()) == set(workloads.queries())
+    assert set(SQL) <= set(QUERIES)
     assert set(MODELS) <= set(QUERIES)
     assert sum(n.startswith("chart_") for n in QUERIES) == 101
+    assert sum(n.startswith("report_") for n in QUERIES) == 29
 
 
 def test_entry(spark, small):
