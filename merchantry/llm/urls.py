@@ -18,7 +18,11 @@ from merchantry.llm.common import ascii_lower, written
 
 @dataclass(frozen=True)
 class UrlConfig:
-    """Rules are (host, path, verdict); ``support`` and ``confidence`` prune what is mined."""
+    """Rules are (host, path, verdict); ``support`` and ``confidence`` prune what is mined.
+
+    A token set that at least ``hot_share`` of the undecided URLs have is hot; there
+    are 1 / hot_share hot sets at most.
+    """
 
     rules: tuple[tuple[str, str, str], ...] = (
         ("net", "/", "block"),
@@ -29,6 +33,7 @@ class UrlConfig:
     support: float = 0.002
     confidence: float = 0.8
     default: str = "allow"
+    hot_share: float = 0.001
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -87,13 +92,17 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(needs, rule_needs, says, confidence) of the best rule that each distinct token array of ``sets`` contains.
 
     Best is the surest, then the best supported, then the longest, then the first by tokens and label.
+    Postings go to as many slots as a shuffle has partitions and each set asks one slot,
+    so a token of all URLs is met in many tasks.
     """
+    slots = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = rules.select("rule_id", F.explode("needs").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     index = rules.select("*", F.explode("needs").alias("token")).join(postings, "token")
     index = index.groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("post"), F.first("needs").alias("rule_needs"), F.first("says").alias("says"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
     index = index.select(F.col("post.token").alias("token"), "rule_needs", "says", "confidence", "support")
-    asked = sets.select("needs", F.explode("needs").alias("token"))
-    hits = asked.join(index, "token").where(F.size(F.array_except("rule_needs", "needs")) == 0)
+    index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    asked = sets.select("needs", F.pmod(F.xxhash64("needs"), F.lit(slots)).cast("int").alias("slot"), F.explode("needs").alias("token"))
+    hits = asked.join(index, ["token", "slot"]).where(F.size(F.array_except("rule_needs", "needs")) == 0)
     order = F.struct(-F.col("confidence"), -F.col("support"), -F.size("rule_needs"), F.array_join("rule_needs", " "), F.col("says"))
     best = hits.groupBy("needs").agg(F.min_by(F.struct("rule_needs", "says", "confidence"), order).alias("b"))
     return best.select("needs", "b.rule_needs", "b.says", "b.confidence")
@@ -119,17 +128,21 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, conf: UrlConfi
         known = labels.where("says is not null").select(lhost.alias("host"), lpath.alias("path"), "says")
         known = known.select(F.array_sort(tokens(F.col("host"), F.col("path"))).alias("needs"), "says")
     rules = written(mine(known, conf), "url-rules")
-    # equal token sets are matched once
-    sets = rows.where("says is null").select("needs").distinct()
-    best = match(sets, rules)
-    joined = rows.join(best.withColumnRenamed("says", "mined_says"), "needs", "left")
-    undecided = F.col("says").isNull()
-    return joined.select(
+    # equal token sets are matched once; hot ones go back by broadcast, the others by a shuffle
+    open_rows = rows.where("says is null")
+    hot_rows = F.lit(conf.hot_share * open_rows.count())
+    sets = written(open_rows.groupBy("needs").agg((F.count("*") >= hot_rows).alias("hot")), "url-sets")
+    best = match(sets, rules).withColumnRenamed("says", "mined_says")
+    best = written(sets.join(best, "needs", "left"), "url-matches")
+    hot, others = F.broadcast(best.where("hot")), best.where("not hot")
+    found = open_rows.join(hot, "needs").unionByName(open_rows.join(hot.select("needs"), "needs", "left_anti").join(others, "needs", "left"))
+    found = found.unionByName(rows.where("says is not null"), allowMissingColumns=True)
+    return found.select(
         "page_id",
         "host",
         "path",
         "rule",
         F.coalesce("says", "mined_says", F.lit(conf.default)).alias("verdict"),
-        F.when(undecided, F.array_join("rule_needs", " ")).alias("mined"),
-        F.when(undecided, F.col("confidence")).alias("confidence"),
+        F.array_join("rule_needs", " ").alias("mined"),
+        "confidence",
     )
