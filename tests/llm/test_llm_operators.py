@@ -313,6 +313,17 @@ def test_main_text(spark):
     assert htmlpaths.extract(pages.limit(0)).count() == 0
 
 
+def test_article_weighs_and_does_not_decide():
+    body = "".join(f"<p>Paragraph {i}, of the text, is long enough. It goes on, and ends here.</p>" for i in range(8))
+    beside = htmlpaths.main_text(f"<body><article><p>Teaser.</p></article><div class='text'>{body}</div></body>")
+    assert beside.count("Paragraph") == 8
+    short = htmlpaths.main_text(f"<body><article>{body}<p>Sh is.</p></article></body>")
+    assert short.count("Paragraph") == 8 and short.endswith("Sh is.")
+    found = htmlpaths.blocks(f"<body><article>{body}<ul>{'<li>x</li>' * 9}</ul></article></body>")
+    chosen = [htmlpaths.select(found, htmlpaths.PathConfig(least=least)) for least in (0.0, 0.9)]
+    assert len(chosen[0]) == 17 and len(chosen[1]) == 8
+
+
 def test_words_are_split_alike():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a b\x1fc d\x0be") == [w.decode() for w in words("a b\x1fc d\x0be")]
     assert set(queries.SQL) <= set(queries.QUERIES)
