@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from merchantry.llm import bpe, exact, minhash, mixing, toxicity
-from merchantry.llm.common import keep_one_row, table, written
+from merchantry.llm.common import table, written
 from merchantry.llm.queries import toxic_model
 
 
@@ -28,9 +28,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8."""
-    found = minhash.near_duplicates(docs, minhash.NearConfig(words=5, percent=80))
-    return keep_one_row(docs, written(found.where("kept").select("doc_id").distinct(), "kept-ids"))
+    """One document of each group of near duplicates, and all that are linked with nothing: five-word shingles, similarity of 0.8."""
+    return minhash.drop_near_duplicates(docs, minhash.NearConfig(words=5, percent=80))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

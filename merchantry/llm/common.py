@@ -103,20 +103,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keep_one_row(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (distinct; may hold null); where a doc_id repeats, one row of it.
+def keep_rows(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, ``digest`` of the text) is in ``keys`` (doc_id, digest, n; distinct, may hold null ids), one row of each.
 
-    Which of the repeated rows stays is settled by the order of all columns.  Only
-    repeated ids are ranked; the rank filter is applied before their shuffle as well.
+    Rows with the same id, or without one, all stay if their texts differ.  Of the n
+    rows of a key the longest text stays, then the first in the order of all columns.
+    Only keys with several rows are ranked; the rank filter is applied before their
+    shuffle as well.
     """
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    marked = docs.join(
-        ids.select(F.col("doc_id").alias("_k"), F.lit(True).alias("_in")).hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("_k")),
-        "left_semi",
-    )
-    twice = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = marked.join(repeated.hint("shuffle_hash"), twice, "left_anti")
-    several = marked.join(repeated.hint("shuffle_hash"), twice, "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    return once.unionByName(several.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    named = docs.withColumn("_digest", digest)
+
+    def within(part: DataFrame) -> DataFrame:
+        wanted = part.select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d")).hint("shuffle_hash")
+        return named.join(wanted, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left_semi")
+
+    longest = F.length(F.coalesce("text", F.lit(""))).desc()
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(longest, *[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    several = within(keys.where("n > 1")).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return within(keys.where("n = 1")).unionByName(several).drop("_digest")

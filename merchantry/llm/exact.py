@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from merchantry.llm.common import SPACES, keep_one_row, written
+from merchantry.llm.common import SPACES, keep_rows, written
 
 INDEX = "shard int, pilots binary, digests binary, n_points binary, doc_ids binary, sizes binary, has_id binary"
 ENTRY = "digest binary, n_points long, doc_id long, size long"
@@ -34,11 +34,15 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n_points): SHA-256 of the normalised text, code points of the original."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"),
+        _digest(F.col("text")).alias("digest"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
     )
 
@@ -173,6 +177,7 @@ def exact_duplicates(docs: DataFrame, conf: ExactConfig = ExactConfig()) -> Data
 
 
 def drop_exact_duplicates(docs: DataFrame, conf: ExactConfig = ExactConfig()) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows that repeat a kept doc_id, one."""
-    ids = written(exact_duplicates(docs, conf).where("kept").select("doc_id").distinct(), "kept-ids")
-    return keep_one_row(docs, ids)
+    """One row of ``docs`` per normalised text, with its columns: the winner's.  Rows are told apart by text, so null and repeated ids lose none."""
+    found = exact_duplicates(docs, conf).where("kept")
+    keys = found.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.count("*").alias("n"))
+    return keep_rows(docs, _digest(F.col("text")), written(keys, "kept-rows"))

@@ -15,9 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from merchantry.llm.common import Chunk, chunks, mix, written
+from merchantry.llm.common import Chunk, chunks, keep_rows, mix, written
 from merchantry.llm.components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -89,11 +89,16 @@ def _band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SKETCHES = "doc_id long, digest binary, n_shingles long, d1 long, d2 long, bands array<long>"
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 of the text as it is; tells rows with the same doc_id apart."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def sketches(docs: DataFrame, conf: NearConfig) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands): size and 128-bit digest of the shingle set, and its band keys."""
+    """(doc_id, digest, n_shingles, d1, d2, bands): digest of the text, size and 128-bit digest of the shingle set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, lower=True):
@@ -107,15 +112,16 @@ def sketches(docs: DataFrame, conf: NearConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.rows.column("doc_id").combine_chunks(),
+                    chunk.rows.column("digest").combine_chunks(),
                     pa.array(sizes, pa.int64()),
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands))),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                names=["doc_id", "digest", "n_shingles", "d1", "d2", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCHES)
+    return docs.select(F.col("doc_id").cast("long"), "text", _digest(F.col("text")).alias("digest")).mapInArrow(run, SKETCHES)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, conf: NearConfig) -> DataFrame:
@@ -221,33 +227,22 @@ def _rest_links(inside: DataFrame, texts: DataFrame, conf: NearConfig) -> DataFr
     return placed.mapInArrow(run, "leader long, member long")
 
 
-def near_duplicates(docs: DataFrame, conf: NearConfig = NearConfig()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
-
-    Texts with the same shingle set form a class, stood for by its smallest doc_id.
-    Classes that share a band are candidates.  In each round every member of a band
-    bucket is compared with one leader of the bucket, the one that shares most bands
-    with others and has not led yet, and links join components; buckets whose members
-    are in one component are done.  When rounds no longer join much, the buckets of a
-    leader become a group, and its members outside the leader's component are compared
-    with all of the group, but for those that share too few shingles with any other
-    component, so no link is lost.
-
-    Empty or null texts, and rows without doc_id, are linked with nothing; their
-    component is their own doc_id and they stay.  Rows that repeat a doc_id get the
-    component of their own text.  Other columns are ignored.
-    """
+def _placed(docs: DataFrame, conf: NearConfig) -> DataFrame:
+    """(doc_id, digest, n_shingles, comp, component_id, kept) per row: ``comp`` is the component's own number, null where a row is linked with nothing."""
     named = written(sketches(docs, conf), "sketches")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = written(named.where(usable).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.where(usable).join(classes.hint("shuffle_hash"), ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["rep", "d1", "d2"])
-    entries = written(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
+    classes = named.where(usable).groupBy("d1", "d2").agg(F.min("doc_id").alias("low"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    heads = named.where(usable).join(classes.hint("shuffle_hash"), ["d1", "d2"]).where("doc_id = low").dropDuplicates(["d1", "d2"])
+    heads = written(heads.select("rep", "doc_id", "digest", F.col("n_shingles").alias("n"), "bands"), "heads")
+    entries = written(heads.select("rep", "n", F.explode("bands").alias("bucket")), "bands")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     entries = written(entries.join(shared, "bucket"), "band-entries")
     central = written(entries.groupBy("rep").agg(F.sum("c").alias("central")), "central")
     entries = written(entries.drop("c").join(central, "rep"), "placed-entries")
-    ids = central.select(F.col("rep").alias("id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
+    wanted = heads.join(central, "rep").select("rep", "doc_id", "digest")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest(F.col("text")).alias("digest"))
+    texts = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "digest"]).select(F.col("rep").alias("id"), "text")
     texts = written(texts, "candidate-texts")
     comps = written(central.select("rep", F.col("rep").alias("comp")), "comps")
 
@@ -292,7 +287,40 @@ def near_duplicates(docs: DataFrame, conf: NearConfig = NearConfig()) -> DataFra
     inside = inside.join(can, "rep").where(100 * F.col("s") >= conf.percent * F.col("n")).select("g", "rep", "comp", "main")
     rest = written(_rest_links(written(inside, "rest"), texts, conf), "rest-links")
     comps = joined(rest, comps)
-    found = classes.join(comps, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
-    linked = named.where(usable).join(found, ["d1", "d2"], "left").select("doc_id", "n_shingles", "component_id")
-    alone = named.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named_by = written(classes.join(comps, "rep", "left").select("d1", "d2", "low", F.coalesce("comp", "rep").alias("comp")), "class-comps")
+    found = named_by.join(named_by.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("d1", "d2", "comp", "component_id")
+    linked = named.where(usable).join(found, ["d1", "d2"], "left").select("doc_id", "digest", "n_shingles", "comp", "component_id")
+    alone = named.where(~usable).select("doc_id", "digest", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, conf: NearConfig = NearConfig()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+
+    Texts with the same shingle set form a class, which has a number of its own.
+    Classes that share a band are candidates.  In each round every member of a band
+    bucket is compared with one leader of the bucket, the one that shares most bands
+    with others and has not led yet, and links join components; buckets whose members
+    are in one component are done.  When rounds no longer join much, the buckets of a
+    leader become a group, and its members outside the leader's component are compared
+    with all of the group, but for those that share too few shingles with any other
+    component, so no link is lost.
+
+    Empty or null texts, and rows without doc_id, are linked with nothing; their
+    component is their own doc_id and they stay.  Rows that repeat a doc_id get the
+    component of their own text; a component is named by its smallest doc_id.  Other
+    columns are ignored.
+    """
+    return _placed(docs, conf).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, conf: NearConfig = NearConfig()) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: one of each component, and each text that is linked with nothing.
+
+    Where rows of a component repeat its doc_id with different texts, the first digest stays.
+    """
+    found = _placed(docs, conf).where("kept").groupBy("doc_id", "digest", "comp").agg(F.count("*").alias("n"))
+    found = written(found, "kept-texts")
+    one = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct("digest", "doc_id", "n")).alias("w")).select("w.doc_id", "w.digest", "w.n")
+    keys = written(one.unionByName(found.where("comp is null").select("doc_id", "digest", "n")), "kept-rows")
+    return keep_rows(docs, _digest(F.col("text")), keys)

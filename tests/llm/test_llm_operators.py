@@ -111,6 +111,26 @@ def test_near_duplicates(spark, messy, nothing, copies):
         assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_dropped_copies_are_told_apart_by_text(spark):
+    far = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = far[5].replace("f30", "other")
+    rows = [(None, far[0], "s"), (None, far[1], "s"), (None, far[1], "t"), (None, far[2] + " ", "s"), (None, far[2], "s"), (7, far[3], "s"), (7, far[4], "s"), (7, far[4], "s"), (7, far[5], "s"), (7, near, "s"), (9, near, "t"), (None, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    left = exact.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    want = [(None, "")] + [(None, t) for t in (far[0], far[1], far[2] + " ")] + [(7, t) for t in (far[3], far[4], far[5], near)]
+    assert Counter((r.doc_id, r.text or "") for r in left.collect()) == Counter(want)
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = Counter((r.doc_id, r.text or "") for r in left.collect())
+    assert got.pop((7, far[5]), 0) + got.pop((7, near), 0) == 1
+    assert got == Counter([(None, t) for t in ("", far[0], far[1], far[2], far[2] + " ")] + [(7, far[3]), (7, far[4])])
+    found = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs.where("doc_id is not null")).collect())
+    assert found == Counter({(7, 7): 5, (9, 7): 1})
+    twice = spark.createDataFrame([(5, far[0]), (5, far[1]), (6, far[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in minhash.drop_near_duplicates(twice).collect()) == [(5, far[0]), (5, far[1])]
+
+
 def test_sketch_estimates_similarity_and_fills():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
