@@ -108,13 +108,17 @@ def read_latest(spark: SparkSession, target: str, before: int | None = None) ->
     return out
 
 
-def first_per_order(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:
-    """First arrival per key; repeats inside the watermark delay are dropped.
-
-    Keeps the first event to arrive, which need not be the earliest one.  Rows
-    with a null key part are not repeats of each other: give such rows their own
-    id in the key column before calling.
+def first_per_order(stream: DataFrame, ts: str, keys: Sequence[str], delay: str | None = None) -> DataFrame:
+    """First arrival per key, however late it lands; all repeats are dropped.
+
+    Keeps the first event to arrive, which need not be the earliest one.  State holds
+    every key seen, dealt by key; only a ``delay`` bounds it, and then rows later than
+    that watermark are lost, first arrivals among them.  Rows with a null key part are
+    not repeats of each other: give such rows their own id in the key column before
+    calling.
     """
+    if delay is None:
+        return stream.dropDuplicates(list(keys))
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -167,10 +171,14 @@ def read_updates(spark: SparkSession, target: str, keys: Sequence[str]) -> DataF
     return ranking.latest_per_key(spark.read.parquet(target), keys, "_batch").drop("_batch")
 
 
-def daily_counts(stream: DataFrame, ts: str, by: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """Events per day and group; a day's state is dropped once the watermark passes it."""
+def daily_counts(stream: DataFrame, ts: str, by: Sequence[str], delay: str | None = None) -> DataFrame:
+    """Events per day and group, however late they land.
+
+    State holds one count per day and group; with a ``delay`` a day's state is dropped
+    once the watermark passes it, and later events are not counted.
+    """
     return (
-        stream.withWatermark(ts, delay)
+        (stream if delay is None else stream.withWatermark(ts, delay))
         .groupBy(F.window(ts, "1 day"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").cast("date").alias("day"), *by, "n")

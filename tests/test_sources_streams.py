@@ -157,6 +157,18 @@ def test_stream_first_per_order(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "id") == [(1,), (2,)]
 
 
+def test_streams_keep_rows_later_than_any_watermark(spark, tmp_path):
+    folder = f"{tmp_path}/events"
+    late = [[(i, 1, "buy", T0 + timedelta(days=d), 1.0)] for i, d in ((1, 0), (2, 40), (3, 40), (4, 0), (1, 50), (4, 1))]
+    schema = event_files(spark, folder, *late)
+    stream = jobs.read_files(spark, folder, schema, files_per_batch=1)
+    finish(jobs.append_files(jobs.first_per_order(stream, "at", ["id"]).select("id"), f"{tmp_path}/first", f"{tmp_path}/p1"))
+    assert rows(spark.read.parquet(f"{tmp_path}/first"), "id") == [(1,), (2,), (3,), (4,)]
+    finish(jobs.write_updates(jobs.daily_counts(stream, "at", ["kind"]), f"{tmp_path}/daily", f"{tmp_path}/p2"))
+    batch = spark.read.parquet(folder).groupBy(F.to_date("at").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(jobs.read_updates(spark, f"{tmp_path}/daily", ["day", "kind"]), "day", "kind", "n") == rows(batch, "day", "kind", "n")
+
+
 def test_stream_attribution_equals_batch(spark, tmp_path, event_stream):
     from merchantry.operators.touch import last_touch
 
