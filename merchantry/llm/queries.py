@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantry.llm import bpe, brown, cascade, exact, htmlpaths, lines, minhash, mixing, toxicity, urls
+from merchantry.llm import bpe, brown, cascade, exact, htmlpaths, lines, minhash, mixing, segments, toxicity, urls
 from merchantry.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,12 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), OP10)
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows, seventh = table(spark, folder, "embeddings"), F.col("vec_id") % 7 == 0
+    relabelled = rows.withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return segments.hard_negatives(relabelled, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -88,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op8_main_text,
         op9_bpe,
         op10_near_duplicates,
+        op13_hard_negatives,
     )
 }
 
@@ -145,5 +152,23 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op13_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM r a, r WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE s.label <> p.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
 """,
 }
