@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantry.llm import bpe, brown, cascade, exact, htmlpaths, lines, minhash, mixing, segments, toxicity, urls
+from merchantry.llm import bagsearch, bpe, brown, cascade, exact, htmlpaths, lines, minhash, mixing, secretscan, segments, toxicity, urls
 from merchantry.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,22 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), OP10)
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secretscan.find_secrets(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("secrets", lambda x: x.rule == k)).cast("long")
+    base = F.filter("secrets", lambda x: x.rule < len(secretscan.BASE))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{rule.kind}") for k, rule in enumerate(secretscan.BASE)],
+        F.sha2(secretscan.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secretscan.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    return bagsearch.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows, seventh = table(spark, folder, "embeddings"), F.col("vec_id") % 7 == 0
     relabelled = rows.withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -94,6 +110,8 @@ QUERIES: dict[str, Query] = {
         op8_main_text,
         op9_bpe,
         op10_near_duplicates,
+        op11_secrets,
+        op12_bag_search,
         op13_hard_negatives,
     )
 }
@@ -101,6 +119,25 @@ QUERIES: dict[str, Query] = {
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_KINDS = {
+    "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]{14,}",
+    "hex": "[0-9a-f]{16,}",
+    "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "forge": "gh[opsur]_[A-Za-z0-9]{36,}",
+    "web_token": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "chat": "xox[abprs]-[A-Za-z0-9-]{10,}",
+    "cloud": "AIza[A-Za-z0-9_-]{35}",
+    "payment": "[prs]k_live_[A-Za-z0-9]{16,}",
+    "login": r"://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@",
+}
+_SECRETS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(string_split_regex(text, '{p}')[:-2]) AS before,"
+    f" unnest(regexp_extract_all(text, '{p}', {2 if kind == 'assign' else 0})) AS part, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i"
+    f" FROM documents WHERE regexp_matches(text, '{p}')"
+    for k, (kind, p) in enumerate(_KINDS.items())
+)
+
 SQL: dict[str, str] = {
     "op4_exact_dedup": """
 WITH d AS (
@@ -152,6 +189,41 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_secrets": f"""
+WITH hits AS ({_SECRETS}),
+placed AS (SELECT *, sum(length(before) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM hits),
+kept AS (
+  SELECT doc_id, k, e - length(m) AS s, kind || ':' || (e - length(m)) || ':' || e AS span
+  FROM placed WHERE k > 0 OR length(part) >= 12),
+joined AS (
+  SELECT doc_id, count_if(k = 0) AS a, count_if(k = 1) AS b, count_if(k = 2) AS c,
+         string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans
+  FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined USING (doc_id)
+""",
+    "op12_bag_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+stats AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+words AS (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+counted AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, stats GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN weighed USING (term) JOIN counted USING (term), stats GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER w::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 50
 """,
     "op13_hard_negatives": """
 WITH r AS (
