@@ -15,7 +15,7 @@ anchors with one block of rows, both of bounded size, and sends on at most
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +36,7 @@ class MineConfig:
     scale: int = 256
     leaf: int = 2  # components of the shortest segments
     fan: int = 4  # segments that merge into one of the next level
-    row_block: int = 2048
+    row_block: int = 4096
     anchor_block: int = 512
 
 
@@ -113,7 +113,8 @@ class Block:
         numbers = np.frombuffer(row["vectors"], row["kind"]).reshape(n, row["dims"])
         self.numbers = np.zeros((n, dims), numbers.dtype)
         self.numbers[:, : row["dims"]] = numbers
-        self.most = float(np.abs(numbers).max(initial=0))
+        self.values = self.numbers.astype(float)
+        self.most = float(np.abs(self.values).max(initial=0))
         own, segments = -(-row["dims"] // conf.leaf), -(-dims // conf.leaf)
         lengths = np.full(own, float(conf.leaf))
         if row["dims"] % conf.leaf:
@@ -132,7 +133,8 @@ class Block:
     def exact(self, at: np.ndarray, vector: np.ndarray, most: float) -> np.ndarray:
         """Inner products of the rows ``at``; doubles hold them unless they could pass 2^53."""
         if self.most * most * max(1, len(vector)) < 2**53:
-            return (self.numbers[at].astype(float) @ vector.astype(float)).astype(np.int64)
+            few = 4 * len(at) < len(self.values)
+            return (self.values[at] @ vector.astype(float) if few else (self.values @ vector.astype(float))[at]).astype(np.int64)
         sums = self.numbers[at].astype(object) @ vector.astype(object) if len(at) else np.zeros(0, object)
         return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in sums], np.int64)
 
@@ -149,55 +151,80 @@ def merged(m: np.ndarray, d: np.ndarray, lengths: np.ndarray, fan: int) -> tuple
     return mean, np.sqrt((d * d).sum(2) + spread), lengths.sum(1)
 
 
-def bounds(rows: Block, at: np.ndarray, level: int, anchors: Block, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(middle, half width) of the scores of rows ``at`` with anchor ``i``, with room for 32-bit rounding."""
-    f, a = rows.levels[level][at], anchors.levels[level][i]
-    half = len(a) // 2
-    slack = 1e-5 * rows.norms[at] * anchors.norms[i] + 1e-3
-    return f[:, :half] @ a[:half], f[:, half:] @ a[half:] + slack
+#: Anchors whose bounds are worked out together.
+TOGETHER = 64
 
 
-def best_of(at: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``n`` highest; ``at`` is in the order of ids, which settles ties."""
-    order = np.lexsort((at, -scores))[:n]
-    return at[order], scores[order]
+class Bounds:
+    """Bounds of the scores of all rows of a block with some of its anchors, a level at a time, as far as asked for."""
+
+    def __init__(self, rows: Block, anchors: Block, first: int):
+        self.rows, self.anchors, self.part = rows, anchors, slice(first, first + TOGETHER)
+        self.first, self.known = first, {}
+        self.n_levels = len(rows.levels)
+
+    def of(self, level: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(middle, half width) per row with anchor ``i``, with room for 32-bit rounding."""
+        if level not in self.known:
+            f, a = self.rows.levels[level], self.anchors.levels[level][self.part]
+            half = f.shape[1] // 2
+            slack = 1e-5 * np.outer(self.anchors.norms[self.part], self.rows.norms).astype(np.float32) + np.float32(1e-3)
+            self.known[level] = a[:, :half] @ f[:, :half].T, a[:, half:] @ f[:, half:].T + slack
+        middle, width = self.known[level]
+        return middle[i - self.first], width[i - self.first]
+
 
+def every_anchor(rows: Block, anchors: Block, which: list[int]) -> Iterator[tuple[int, Bounds]]:
+    known = None
+    for i in which:
+        if known is None or i >= known.first + TOGETHER:
+            known = Bounds(rows, anchors, i)
+        yield i, known
 
-def nearest(rows: Block, anchors: Block, i: int, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``n`` rows of ``at`` with the highest scores."""
-    vector = anchors.numbers[i]
-    for level in range(len(rows.levels)):
-        if len(at) <= 2 * n:
+
+def nearest(known: Bounds, i: int, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, score) of the ``n`` rows of ``at`` with the highest scores; ``at`` ascends in the order of ids, which settles ties."""
+    rows, vector, most = known.rows, known.anchors.numbers[i], known.anchors.most
+    for level in range(known.n_levels):
+        if len(at) <= 4 * n:
             break
-        middle, width = bounds(rows, at, level, anchors, i)
+        middle, width = (x[at] for x in known.of(level, i))
         sure = np.argpartition(-middle, n - 1)[:n]  # n scores that are really there: what stays below the least is out
-        bar = rows.exact(at[sure], vector, anchors.most).min()
-        at = at[middle + width >= bar]
-    return best_of(at, rows.exact(at, vector, anchors.most), n)
+        at = at[middle + width >= rows.exact(at[sure], vector, most).min()]
+    scores = rows.exact(at, vector, most)
+    order = np.argsort(-scores, kind="stable")[:n]
+    return at[order], scores[order]
 
 
-def below(rows: Block, anchors: Block, i: int, at: np.ndarray, ranges: list[tuple[int, int]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each range of scores (both ends in it) the ``n`` rows of ``at`` with the highest scores inside."""
-    vector, bars = anchors.numbers[i], [low for low, _ in ranges]
-    open_ = [(j, low, high) for j, (low, high) in enumerate(ranges) if low <= high]
-    for level in range(len(rows.levels)):
-        if len(at) <= 4 * n or not open_:
-            break
-        middle, width = bounds(rows, at, level, anchors, i)
-        keep = np.zeros(len(at), bool)
-        for j, low, high in open_:
-            likely = np.flatnonzero(middle <= high)
-            if len(likely) > 4 * n:
-                likely = likely[np.argpartition(-middle[likely], 4 * n - 1)[: 4 * n]]
-            scores = rows.exact(at[likely], vector, anchors.most)
-            inside = np.sort(scores[(scores >= low) & (scores <= high)])
-            if len(inside) >= n:
-                bars[j] = max(bars[j], int(inside[-n]))
-            keep |= (middle + width >= bars[j]) & (middle - width <= high)
-        at = at[keep]
-    scores = rows.exact(at, vector, anchors.most) if open_ else np.zeros(0, np.int64)
+def below(known: Bounds, i: int, at: np.ndarray, ranges: list[tuple[int, int]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each range of scores (both ends in it) the ``n`` rows of ``at`` with the highest scores inside, as in :func:`nearest`."""
+    rows, vector, most = known.rows, known.anchors.numbers[i], known.anchors.most
+    open_ = [(low, high) for low, high in ranges if low <= high]
+    bar, top = min((low for low, _ in open_), default=0), max((high for _, high in open_), default=-1)
     at = at if open_ else at[:0]
-    return [best_of(at[hit], scores[hit], n) for low, high in ranges for hit in [(scores >= low) & (scores <= high)]]
+    for level in range(known.n_levels):
+        if len(at) <= 4 * n:
+            break
+        middle, width = (x[at] for x in known.of(level, i))
+        if level == known.n_levels - 1:  # some likely scores, to see how high the n-th of each range is at least
+            some = np.flatnonzero(middle <= top)
+            most_some = 4 * n * len(open_)
+            some = some[np.argpartition(-middle[some], most_some - 1)[:most_some]] if len(some) > most_some else some
+            sure = np.sort(rows.exact(at[some], vector, most))
+            inside = [sure[(sure >= low) & (sure <= high)] for low, high in open_]
+            bar = min(int(x[-n]) if len(x) >= n else low for x, (low, _) in zip(inside, open_, strict=True))
+        at = at[(middle + width >= bar) & (middle - width <= top)]
+    scores = rows.exact(at, vector, most)
+    hit = (scores >= bar) & (scores <= top)
+    at, scores = at[hit], scores[hit]
+    order = np.argsort(-scores, kind="stable")
+    at, scores = at[order], scores[order]
+    out = []
+    for low, high in ranges:
+        first = int(np.searchsorted(-scores, -high))
+        last = min(first + n, int(np.searchsorted(-scores, -low, "right")))
+        out.append((at[first : max(first, last)], scores[first : max(first, last)]))
+    return out
 
 
 def cells(index: DataFrame, blocks: int, anchors: DataFrame, anchor_blocks: int, run: Callable, schema: str) -> DataFrame:
@@ -254,10 +281,10 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, conf: MineConfig = MineCo
         named = np.array([x is not None for x in own.ids], bool)
         places = {label: np.flatnonzero(own.labels == label) for label in np.unique(own.labels)}
         out: dict[str, list] = {c: [] for c in ("anchors", "anchor", "pair", "score", "block", "place")}
-        for i, (anchor, label) in enumerate(zip(anchors.ids, anchors.labels, strict=True)):
-            at = places.get(label, np.zeros(0, np.int64))
-            at = at[~((ids[at] == anchor) & named[at])]
-            place, score = nearest(own, anchors, i, at, conf.positives)
+        for i, known in every_anchor(own, anchors, list(range(len(anchors.ids)))):
+            at = places.get(anchors.labels[i], np.zeros(0, np.int64))
+            at = at[~((ids[at] == anchors.ids[i]) & named[at])]
+            place, score = nearest(known, i, at, conf.positives)
             for c, x in (("anchors", asked_row["_anchors"]), ("anchor", i), ("pair", 0), ("score", score), ("block", row["_rows"]), ("place", place)):
                 out[c].append(np.broadcast_to(x, len(place)))
         return _table(out, own.ids, _KIND)
@@ -278,10 +305,11 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, conf: MineConfig = MineCo
         of: dict[int, list[dict]] = {}
         for p in asked_row["pairs"]:
             of.setdefault(p["anchor"], []).append(p)
-        for i, mine in of.items():
+        for i, known in every_anchor(own, anchors, sorted(of)):
+            mine = of[i]
             # 50 * p <= 100 * s <= 95 * p in whole numbers
             ranges = [(-(-conf.low * p["positive_score"] // 100), conf.high * p["positive_score"] // 100) for p in mine]
-            for p, (place, score) in zip(mine, below(own, anchors, i, others[anchors.labels[i]], ranges, conf.negatives), strict=True):
+            for p, (place, score) in zip(mine, below(known, i, others[anchors.labels[i]], ranges, conf.negatives), strict=True):
                 for c, x in (("anchors", asked_row["_anchors"]), ("anchor", i), ("pair", p["pair"]), ("score", score), ("block", row["_rows"]), ("place", place)):
                     out[c].append(np.broadcast_to(x, len(place)))
         return _table(out, own.ids, _KIND)

@@ -73,10 +73,10 @@ def test_bounds_hold_on_every_level(dims):
         "ids": list(range(50)), "labels": np.zeros(50, "<i8").tobytes(), "dims": dims, "kind": "<i2", "vectors": numbers.astype("<i2").tobytes(),
         "means": m.astype("<f4").tobytes(), "deviations": d.astype("<f4").tobytes(),
     }
-    block, at = segments.Block(row, CONF, dims), np.arange(50)
-    widths = []
-    for level in range(len(block.levels)):
-        middle, width = segments.bounds(block, at, level, block, 7)
+    block = segments.Block(row, CONF, dims)
+    known, widths = segments.Bounds(block, block, 0), []
+    for level in range(known.n_levels):
+        middle, width = known.of(level, 7)
         exact = numbers @ numbers[7]
         assert (np.abs(exact - middle) <= width).all()
         widths.append(width.mean())
