@@ -1,14 +1,23 @@
-"""Streams over landed files.  Each job is started by its caller's trigger."""
+"""Streams over landed files.  Each job is started by its caller's trigger.
+
+Spark's state store holds nothing: what a job must remember is in tables of its own
+(:mod:`merchantry.streaming.tables`), so rows count however late they land, memory
+does not grow with days or keys, and a retried batch changes nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from merchantry.operators import ranking
 from merchantry.operators.touch import last_touch
+from merchantry.streaming.tables import Hashed, Levelled, epoch_of
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -27,159 +36,133 @@ def append_files(stream: DataFrame, target: str, checkpoint: str) -> DataStreamW
     )
 
 
+def stream_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def latest_per_key(
-    stream: DataFrame,
-    keys: Sequence[str],
-    recency: str,
-    ties: Sequence[str],
-    target: str,
-    checkpoint: str,
-    buckets: int = 64,
+    stream: DataFrame, keys: Sequence[str], recency: str, ties: Sequence[str], target: str, checkpoint: str, leaf_rows: int = 1_000_000
 ) -> DataStreamWriter:
-    """Keep a table of the newest row per key.
-
-    Keys are laid out in hash buckets.  A batch is first cut to its newest row
-    per key; then only the buckets it touches are read, merged and rewritten,
-    each batch into its own generation folder, so a retried batch repeats the
-    same write and readers take the newest generation of every bucket.  A stream
-    that starts without a checkpoint, though the target is there, begins a new
-    epoch: its batches count from 0 again and still come after all earlier ones.
+    """Keep a table of the newest row per key; null key parts are values like others.
+
+    A batch is first cut to its newest row per key; then only the leaves its keys fall
+    into are read, merged and rewritten, and split when they grow.  A stream that starts
+    without its checkpoint sends its rows again, and they change nothing.
     """
-    epoch = _epoch(stream.sparkSession, target, checkpoint)
+    epoch = epoch_of(stream.sparkSession, target, checkpoint)
+    order = [F.col(c).desc_nulls_last() for c in ties]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark, generation = batch.sparkSession, epoch * EPOCH + batch_id
-        order = [F.col(c).desc_nulls_last() for c in ties]
-        fresh = ranking.latest_per_key(batch, keys, recency, order).withColumn(
-            "_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        )
-        before = read_latest(spark, target, before=generation)
-        if before is not None:
-            touched = fresh.select("_bucket").distinct()  # at most ``buckets`` rows, safe to broadcast
-            fresh = fresh.unionByName(before.join(F.broadcast(touched), "_bucket", "left_semi"))
-            fresh = ranking.latest_per_key(fresh, keys, recency, order)
-        (
-            fresh.repartition(buckets, "_bucket")
-            .write.mode("overwrite")
-            .partitionBy("_bucket")
-            .parquet(f"{target}/_generation={generation:018d}")
-        )
+        newest = lambda df: ranking.latest_per_key(df, keys, recency, order)
+        Hashed(batch.sparkSession, target, keys, leaf_rows).put(batch, newest, epoch, batch_id)
 
     return stream_batches(stream, merge, checkpoint)
 
 
-# More batches than a stream ever has: generations of an epoch lie between its multiples.
-EPOCH = 10**12
-
-
-def _epoch(spark: SparkSession, target: str, checkpoint: str) -> int:
-    """The number of the target's current epoch; a missing checkpoint starts the next one, noted before any batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    marks, kept = hadoop(f"{target}/_epochs/*"), hadoop(f"{checkpoint}/metadata")
-    files = marks.getFileSystem(spark._jsc.hadoopConfiguration())
-    last = max((int(s.getPath().getName()) for s in files.globStatus(marks) or []), default=-1)
-    if last >= 0 and kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept):
-        return last
-    files.mkdirs(hadoop(f"{target}/_epochs/{last + 1}"))
-    return last + 1
-
-
-def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Current rows of a table kept by :func:`latest_per_key`, with ``_bucket``."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_generation=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    generation = lambda f: int(f.rsplit("=", 1)[1])
-    folders = sorted((s.getPath().getParent().toString() for s in found or []), key=generation)
-    folders = [f for f in folders if before is None or generation(f) < before]
-    newest: dict[int, str] = {}
-    for folder in folders:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_bucket=*")
-        for status in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []:
-            newest[int(status.getPath().getName().split("=")[1])] = folder
-    if not newest:
-        return None
-    parts: dict[str, list[str]] = {}
-    for bucket, folder in newest.items():
-        parts.setdefault(folder, []).append(f"{folder}/_bucket={bucket}")
-    frames = [spark.read.option("basePath", folder).parquet(*paths) for folder, paths in sorted(parts.items())]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
-def first_per_order(stream: DataFrame, ts: str, keys: Sequence[str], delay: str | None = None) -> DataFrame:
-    """First arrival per key, however late it lands; all repeats are dropped.
-
-    Keeps the first event to arrive, which need not be the earliest one.  State holds
-    every key seen, dealt by key; only a ``delay`` bounds it, and then rows later than
-    that watermark are lost, first arrivals among them.  Rows with a null key part are
-    not repeats of each other: give such rows their own id in the key column before
-    calling.
-    """
-    if delay is None:
-        return stream.dropDuplicates(list(keys))
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """Current rows of a table kept by :func:`latest_per_key`."""
+    return Hashed(spark, target, []).rows()
 
 
-def attribute_orders(
-    orders: DataFrame,
-    read_touches: Callable[[], DataFrame],
-    keys: Sequence[str],
-    order_id: Sequence[str],
-    order_ts: str,
-    touch_ts: str,
-    touch_id: str,
-    carry: Sequence[str],
-    target: str,
-    checkpoint: str,
-    lookback_days: int = 5,
-) -> DataStreamWriter:
-    """Last-touch attribution of arriving orders against the landed touches.
+def first_per_order(stream: DataFrame, ts: str, keys: Sequence[str], target: str, checkpoint: str, leaf_rows: int = 1_000_000) -> DataStreamWriter:
+    """Keep the first arrival per key, however late it lands; all repeats are dropped.
 
-    Every batch of orders goes through the batch as-of operator, with the
-    touches cut to the batch's own time range, so a stream keeps no five-day
-    state and builds no order/touch pairs.  A batch writes its own folder; a
-    retry replaces it.  Orders should lag the touches by the loader's delay.
+    Of repeats in one batch the earliest stays, of equal times the one with the least
+    digest; a later batch never replaces a row, so the first to arrive need not be the
+    earliest.  Rows with a null key part repeat nothing and all stay.
     """
+    epoch = epoch_of(stream.sparkSession, target, checkpoint)
 
-    def attribute(batch: DataFrame, batch_id: int) -> None:
-        low = batch.select(F.min(order_ts) - F.make_dt_interval(F.lit(lookback_days))).scalar()
-        high = batch.select(F.max(order_ts)).scalar()
-        near = read_touches().filter(F.col(touch_ts).between(low, high))
-        found = last_touch(batch, near, keys, order_id, order_ts, touch_ts, touch_id, carry, lookback_days)
-        found.write.mode("overwrite").parquet(f"{target}/_batch={batch_id:012d}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        unknown = reduce(or_, [F.col(k).isNull() for k in keys])
 
-    return stream_batches(orders, attribute, checkpoint)
+        def first(df: DataFrame) -> DataFrame:
+            order = [F.col(ts).asc_nulls_last(), ranking.row_digest(df)]
+            return ranking.top_n_per_group(df.where(~unknown), keys, order).unionByName(df.where(unknown))
 
+        Hashed(batch.sparkSession, target, keys, leaf_rows, null_apart=True).insert(batch, first, epoch, batch_id)
+
+    return stream_batches(stream, keep, checkpoint)
+
+
+def read_first(spark: SparkSession, target: str) -> DataFrame:
+    """The rows kept by :func:`first_per_order`."""
+    return Hashed(spark, target, []).rows()
 
-def stream_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
+def _added(by: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.groupBy("day", *by).agg(F.sum("n").alias("n"))
 
-def write_updates(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
-    """Changed result rows of every batch, one folder per batch."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/_batch={batch_id:012d}")
+def daily_counts(stream: DataFrame, ts: str, by: Sequence[str], target: str, checkpoint: str, fan: int = 4) -> DataStreamWriter:
+    """Keep the number of events per day and group, however late they land; events without a time are of the null day.
 
-    return stream_batches(stream, write, checkpoint).outputMode("update")
+    A batch adds its own counts; readers add up a number of runs that grows with the
+    logarithm of the batches.
+    """
+    epoch = epoch_of(stream.sparkSession, target, checkpoint)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(F.to_date(ts).alias("day"), *by).agg(F.count(F.lit(1)).alias("n"))
+        Levelled(batch.sparkSession, target, _added(by), fan=fan).add(counted, epoch, batch_id)
 
+    return stream_batches(stream, add, checkpoint)
 
-def read_updates(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
-    """Current result of :func:`write_updates`: the row of the newest batch per key."""
-    return ranking.latest_per_key(spark.read.parquet(target), keys, "_batch").drop("_batch")
 
+def read_daily_counts(spark: SparkSession, target: str, by: Sequence[str]) -> DataFrame:
+    """(day, by..., n) as kept by :func:`daily_counts`."""
+    return Levelled(spark, target, _added(by)).rows()
 
-def daily_counts(stream: DataFrame, ts: str, by: Sequence[str], delay: str | None = None) -> DataFrame:
-    """Events per day and group, however late they land.
 
-    State holds one count per day and group; with a ``delay`` a day's state is dropped
-    once the watermark passes it, and later events are not counted.
+def attribute_orders(
+    stream: DataFrame,
+    is_order: Column,
+    keys: Sequence[str],
+    order_id: Sequence[str],
+    ts: str,
+    touch_id: str,
+    carry: dict[str, str],
+    target: str,
+    checkpoint: str,
+    lookback_days: int = 5,
+    leaf_rows: int = 1_000_000,
+) -> DataStreamWriter:
+    """Keep orders with their last touch: what :func:`last_touch` gives over all that has landed, in whatever order it landed.
+
+    ``stream`` holds orders (where ``is_order``) and touches; ``carry`` names columns of
+    the touch for the result.  Both go into a log of runs by day.  A batch credits its
+    own orders and, again, those landed before that a touch of the batch may concern:
+    of the same key, in the look-back time from the touch on.  Only the days around the
+    batch's own are read.  Credits are upserted by ``order_id``: more touches only ever
+    lead to a later one, so of two credits of an order that with the later touch holds.
     """
-    return (
-        (stream if delay is None else stream.withWatermark(ts, delay))
-        .groupBy(F.window(ts, "1 day"), *by)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").cast("date").alias("day"), *by, "n")
-    )
+    epoch = epoch_of(stream.sparkSession, target, checkpoint)
+    reach = lookback_days + 1  # the look-back may begin within a day
+    order = [F.col("touch_at").desc(), F.col("touch_tie").desc(), F.struct(*[F.col(f"`{c}`") for c in stream.columns]).desc()]
+    best = lambda df: ranking.top_n_per_group(df, order_id, order)
+
+    def attribute(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, ts)])
+        dated = batch.where(known).withColumns({"_is_order": F.coalesce(is_order, F.lit(False)), "_day": F.to_date(ts)})
+        log = Levelled(spark, f"{target}/log", partition_by=["_day"])
+        log.add(dated, epoch, batch_id)
+        landed = log.rows()
+        # there are no more days than the calendar has
+        own = [tuple(r) for r in dated.select("_is_order", "_day").distinct().collect()]
+        around = lambda first, last, kinds: sorted({d + timedelta(days=i) for kind, d in own if kind in kinds for i in range(first, last + 1)})
+        later = F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda i: F.date_add("_day", i)))
+        concerned = dated.where(~F.col("_is_order")).select(*keys, later.alias("_day")).distinct()
+        again = landed.where(F.col("_is_order") & F.col("_day").isin(around(0, reach, (False,)))).join(concerned, [*keys, "_day"], "left_semi")
+        orders = dated.where("_is_order").unionByName(again).select(*stream.columns)
+        seen = landed.where(~F.col("_is_order") & F.col("_day").isin(sorted({*around(-reach, 0, (True,)), *around(-reach, reach, (False,))})))
+        touches = seen.select(*keys, F.col(ts).alias("touch_ts"), F.col(touch_id).alias("touch_tie"), *[F.col(c).alias(name) for name, c in carry.items()])
+        credited = last_touch(orders, touches, keys, order_id, ts, "touch_ts", "touch_tie", ["touch_tie", *carry], lookback_days)
+        Hashed(spark, f"{target}/credits", order_id, leaf_rows).put(credited, best, epoch, batch_id)
+
+    return stream_batches(stream, attribute, checkpoint)
+
+
+def read_credits(spark: SparkSession, target: str) -> DataFrame:
+    """Orders with ``touch_at`` and the carried columns, as kept by :func:`attribute_orders`."""
+    return Hashed(spark, f"{target}/credits", []).rows().drop("touch_tie")

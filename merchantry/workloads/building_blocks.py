@@ -30,11 +30,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stream(self, name: str) -> DataFrame:
-        """The table's file as a stream of landed files."""
-        schema = getattr(self, name).schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.folder)
+    def landed(self, rows: DataFrame) -> DataFrame:
+        """Rows as a stream of landed files in four batches, dealt by a hash: rows of any time are in any batch."""
+        folder, files = shared_folder(self.spark, "landed"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(folder)
+        return jobs.read_files(self.spark, folder, rows.schema, files_per_batch=-(-files // 4))
 
 
 def block(name: str, sql: str | None = None, columns: str | None = None):
@@ -809,7 +809,7 @@ def _finish(writer) -> None:
 @block("stream_append", "select event_id, user_id, event_type, ts, value from events", "n:event_id n:user_id event_type t:ts r:value")
 def _(t):
     target = shared_folder(t.spark, "appended")
-    rows = t.stream("events").select("event_id", "user_id", "event_type", "ts", "value")
+    rows = t.landed(t.events.select("event_id", "user_id", "event_type", "ts", "value"))
     _finish(jobs.append_files(rows, target, shared_folder(t.spark, "progress")))
     return t.spark.read.parquet(target)
 
@@ -821,10 +821,9 @@ def _(t):
 )
 def _(t):
     target = shared_folder(t.spark, "daily")
-    rows = t.stream("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = jobs.daily_counts(rows, "ts", ["event_type"])
-    _finish(jobs.write_updates(counts, target, shared_folder(t.spark, "progress")))
-    return jobs.read_updates(t.spark, target, ["day", "event_type"])
+    rows = t.landed(t.events.select("event_id", "event_type", "ts"))
+    _finish(jobs.daily_counts(rows, "ts", ["event_type"], target, shared_folder(t.spark, "progress"), fan=2))
+    return jobs.read_daily_counts(t.spark, target, ["event_type"])
 
 
 @block(
@@ -834,13 +833,13 @@ def _(t):
 )
 def _(t):
     target = shared_folder(t.spark, "first")
-    rows = t.stream("events").filter(F.col("event_type") == "purchase")
-    sent = rows.withColumn("late", F.explode(F.array(F.lit(0), F.lit(2)))).select(
+    bought = t.events.filter(F.col("event_type") == "purchase")
+    # every order lands three times, mostly in different batches
+    sent = bought.withColumn("late", F.explode(F.array(F.lit(0), F.lit(2), F.lit(900_000)))).select(
         "event_id", "user_id", (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("late"))).alias("sent_at")
     )
-    first = jobs.first_per_order(sent, "sent_at", ["event_id"]).select("event_id", "user_id")
-    _finish(jobs.append_files(first, target, shared_folder(t.spark, "progress")))
-    return t.spark.read.parquet(target)
+    _finish(jobs.first_per_order(t.landed(sent), "sent_at", ["event_id"], target, shared_folder(t.spark, "progress"), leaf_rows=10_000))
+    return jobs.read_first(t.spark, target).select("event_id", "user_id")
 
 
 @block(
@@ -853,29 +852,16 @@ def _(t):
 )
 def _(t):
     target = shared_folder(t.spark, "latest")
-    writer = jobs.latest_per_key(
-        t.stream("events"), ["user_id", "event_type"], "ts", ["event_id"], target, shared_folder(t.spark, "progress"), 8
-    )
-    _finish(writer)
+    rows = t.landed(t.events.select("event_id", "user_id", "event_type", "ts", "value"))
+    _finish(jobs.latest_per_key(rows, ["user_id", "event_type"], "ts", ["event_id"], target, shared_folder(t.spark, "progress"), leaf_rows=10_000))
     return jobs.read_latest(t.spark, target).select("user_id", "event_type", "event_id", "value")
 
 
 @block("stream_last_touch", TOUCH_SQL, "n:event_id n:user_id r:value n:touch_id touch_kind")
 def _(t):
     target = shared_folder(t.spark, "touched")
-    orders = t.stream("events").filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
-
-    def touches() -> DataFrame:
-        return t.events.filter(F.col("event_type").isin("view", "click")).select(
-            "user_id", F.col("ts").alias("touched_at"), F.col("event_id").alias("touch_id"), F.col("event_type").alias("touch_kind")
-        )
-
-    _finish(
-        jobs.attribute_orders(
-            orders, touches, ["user_id"], ["event_id"], "ts", "touched_at", "touch_id", ["touch_id", "touch_kind"],
-            target, shared_folder(t.spark, "progress"),
-        )
-    )
-    return t.spark.read.parquet(target).select("event_id", "user_id", "value", "touch_id", "touch_kind")
-
-
+    rows = t.landed(t.events.select("event_id", "user_id", "event_type", "ts", "value")).filter(F.col("event_type").isin("purchase", "view", "click"))
+    carry = {"touch_id": "event_id", "touch_kind": "event_type"}
+    bought = F.col("event_type") == "purchase"
+    _finish(jobs.attribute_orders(rows, bought, ["user_id"], ["event_id"], "ts", "event_id", carry, target, shared_folder(t.spark, "progress")))
+    return jobs.read_credits(t.spark, target).select("event_id", "user_id", "value", "touch_id", "touch_kind")

@@ -8,6 +8,7 @@ from merchantry.session import shared_folder
 from merchantry.sources import audit, loads, sinks
 from merchantry.sources.catalog import Catalog
 from merchantry.streaming import jobs
+from merchantry.streaming.tables import KEPT, Hashed, Levelled
 from tests.conftest import rows
 
 T0 = datetime(2024, 1, 1)
@@ -141,44 +142,106 @@ def test_stream_latest_after_a_lost_checkpoint(spark, tmp_path):
     assert rows(jobs.read_latest(spark, target), "who", "id") == [(1, 4), (2, 3)]
 
 
+def counted(df):
+    return df.groupBy(F.to_date("at").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def test_stream_daily_counts_equal_batch(spark, tmp_path, event_stream):
     folder, stream = event_stream
-    counts = jobs.daily_counts(stream, "at", ["kind"], delay="10 days")
-    finish(jobs.write_updates(counts, f"{tmp_path}/out", f"{tmp_path}/progress"))
-    batch = spark.read.parquet(folder).groupBy(F.to_date("at").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
-    assert rows(jobs.read_updates(spark, f"{tmp_path}/out", ["day", "kind"]), "day", "kind", "n") == rows(batch, "day", "kind", "n")
+    event_files(spark, folder, [(9, 1, "view", None, 0.0), (9, 1, None, T0, 0.0)])
+    finish(jobs.daily_counts(stream, "at", ["kind"], f"{tmp_path}/out", f"{tmp_path}/progress", fan=2))
+    got = jobs.read_daily_counts(spark, f"{tmp_path}/out", ["kind"])
+    assert rows(got, "day", "kind", "n") == rows(counted(spark.read.parquet(folder)), "day", "kind", "n")
+    # without its checkpoint the stream sends all again, which counts once
+    finish(jobs.daily_counts(stream, "at", ["kind"], f"{tmp_path}/out", f"{tmp_path}/other", fan=2))
+    got = jobs.read_daily_counts(spark, f"{tmp_path}/out", ["kind"])
+    assert rows(got, "day", "kind", "n") == rows(counted(spark.read.parquet(folder)), "day", "kind", "n")
+
+
+def test_levels_grow_with_the_logarithm_of_the_batches(spark, tmp_path):
+    table = Levelled(spark, f"{tmp_path}/t", lambda df: df.groupBy("k").agg(F.sum("n").alias("n")), fan=2)
+    for batch in range(11):
+        table.add(spark.createDataFrame([("a", 1), (None, 1)], "k string, n long"), 0, batch)
+        table.add(spark.createDataFrame([("a", 50)], "k string, n long"), 0, batch)  # sent again after its commit: passed over
+    state = table.state()
+    assert sorted(r.level for r in state.runs) == [0, 1, 3]  # 11 = 1 + 2 + 8
+    assert rows(table.rows(), "k", "n") == [("a", 11), (None, 11)]
+    assert len(list((tmp_path / "t" / "manifest").glob("*.json"))) == KEPT
+    named = {r.name for r in state.runs}
+    assert named <= {p.name for p in (tmp_path / "t" / "runs").iterdir()} and len(list((tmp_path / "t" / "runs").iterdir())) <= 3 * KEPT
+
+
+def test_leaves_split_and_old_runs_go(spark, tmp_path):
+    table = Hashed(spark, f"{tmp_path}/t", ["k"], leaf_rows=20)
+    newest = lambda df: ranking.latest_per_key(df, ["k"], "at")
+    for batch in range(6):
+        made = [(k, batch) for k in range(batch * 7, batch * 7 + 40)] + [(None, batch)]
+        table.put(spark.createDataFrame(made, "k long, at long"), newest, 0, batch)
+    want = {k: max(b for b in range(6) if b * 7 <= k < b * 7 + 40) for k in range(75)} | {None: 5}
+    assert dict(map(tuple, table.rows().collect())) == want
+    state = table.state()
+    assert sum(r.rows for r in state.runs) == 76 and max(r.rows for r in state.runs) <= 20 and len(state.runs) >= 4
+    # only the leaf of the one key is written again
+    table.put(spark.createDataFrame([(3, 99)], "k long, at long"), newest, 0, 6)
+    assert len({*table.state().runs} - {*state.runs}) == 1
+    table.put(spark.createDataFrame([], "k long, at long"), newest, 0, 7)
+    assert dict(map(tuple, table.rows().collect())) == want | {3: 99}
+    folders = {p.name for p in (tmp_path / "t" / "runs").iterdir()}
+    assert {r.name.partition("/")[0] for r in table.state().runs} <= folders and "run=0-0-0" not in folders
+
+
+def test_a_batch_that_died_before_its_commit_is_written_again(spark, tmp_path):
+    table = Hashed(spark, f"{tmp_path}/t", ["k"])
+    keep = lambda df: ranking.latest_per_key(df, ["k"], "at")
+    table.put(spark.createDataFrame([(1, 1)], "k long, at long"), keep, 0, 0)
+    (tmp_path / "t" / "runs" / "run=0-1-0" / "_leaf=1").mkdir(parents=True)
+    spark.createDataFrame([(9, 9)], "k long, at long").write.mode("append").parquet(f"{tmp_path}/t/runs/run=0-1-0/_leaf=1")
+    assert rows(table.rows()) == [(1, 1)]
+    table.put(spark.createDataFrame([(2, 2)], "k long, at long"), keep, 0, 1)
+    assert rows(table.rows()) == [(1, 1), (2, 2)]
+    with pytest.raises(FileNotFoundError):
+        Hashed(spark, f"{tmp_path}/none", ["k"]).rows()
 
 
 def test_stream_first_per_order(spark, tmp_path):
-    folder = f"{tmp_path}/events"
-    schema = event_files(spark, folder, [(1, 1, "buy", T0, 1.0), (1, 1, "buy", T0 + timedelta(seconds=2), 1.0)], [(1, 1, "buy", T0, 1.0), (2, 1, "buy", T0, 1.0)])
-    stream = jobs.read_files(spark, folder, schema, files_per_batch=1)
-    finish(jobs.append_files(jobs.first_per_order(stream, "at", ["id"]).select("id"), f"{tmp_path}/out", f"{tmp_path}/progress"))
-    assert rows(spark.read.parquet(f"{tmp_path}/out"), "id") == [(1,), (2,)]
-
-
-def test_streams_keep_rows_later_than_any_watermark(spark, tmp_path):
-    folder = f"{tmp_path}/events"
-    late = [[(i, 1, "buy", T0 + timedelta(days=d), 1.0)] for i, d in ((1, 0), (2, 40), (3, 40), (4, 0), (1, 50), (4, 1))]
+    folder, target = f"{tmp_path}/events", f"{tmp_path}/out"
+    late = [
+        [(1, 1, "buy", T0, 1.0), (1, 1, "buy", T0 + timedelta(seconds=2), 2.0), (None, 7, "buy", T0, 1.0)],
+        [(1, 1, "buy", T0 - timedelta(days=50), 3.0), (2, 1, "buy", T0 + timedelta(days=40), 1.0), (None, 7, "buy", T0, 1.0)],
+        [(3, 1, "buy", T0 - timedelta(days=40), 1.0), (2, 1, "buy", T0, 9.0), (4, 2, "buy", None, 1.0)],
+        [(i, 1, "buy", T0, 1.0) for i in range(1, 60)] + [(None, 8, "buy", None, 1.0)],
+        [(i, 1, "buy", T0, 2.0) for i in range(1, 70)],
+    ]
     schema = event_files(spark, folder, *late)
     stream = jobs.read_files(spark, folder, schema, files_per_batch=1)
-    finish(jobs.append_files(jobs.first_per_order(stream, "at", ["id"]).select("id"), f"{tmp_path}/first", f"{tmp_path}/p1"))
-    assert rows(spark.read.parquet(f"{tmp_path}/first"), "id") == [(1,), (2,), (3,), (4,)]
-    finish(jobs.write_updates(jobs.daily_counts(stream, "at", ["kind"]), f"{tmp_path}/daily", f"{tmp_path}/p2"))
-    batch = spark.read.parquet(folder).groupBy(F.to_date("at").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
-    assert rows(jobs.read_updates(spark, f"{tmp_path}/daily", ["day", "kind"]), "day", "kind", "n") == rows(batch, "day", "kind", "n")
+    finish(jobs.first_per_order(stream, "at", ["id"], target, f"{tmp_path}/p", leaf_rows=16))
+    got = jobs.read_first(spark, target)
+    assert rows(got.where("id is not null"), "id") == sorted([(i,) for i in range(1, 70)], key=str)
+    assert rows(got.where("id <= 4"), "id", "v") == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]
+    assert rows(got.where("id is null"), "who") == [(7,), (7,), (8,)]
+    state = Hashed(spark, target, ["id"]).state()
+    assert len({r.leaf for r in state.runs}) > 2 and all(len([r for r in state.runs if r.leaf == leaf]) <= 5 for leaf in {r.leaf for r in state.runs})
 
 
-def test_stream_attribution_equals_batch(spark, tmp_path, event_stream):
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_stream_attribution_equals_batch_in_any_order(spark, tmp_path, order):
     from merchantry.operators.touch import last_touch
 
-    folder, stream = event_stream
-    orders = lambda df: df.filter("kind = 'buy'").select("id", "who", "at", "v")
-    touches = lambda: spark.read.parquet(folder).filter("kind = 'view'").select(
-        "who", F.col("at").alias("t_at"), F.col("id").alias("tid")
-    )
-    spec = (["who"], ["id"], "at", "t_at", "tid", ["tid"])
-    finish(jobs.attribute_orders(orders(stream), touches, *spec, f"{tmp_path}/out", f"{tmp_path}/progress"))
-    batch = last_touch(orders(spark.read.parquet(folder)), touches(), *spec)
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert rows(got, "id", "tid") == rows(batch, "id", "tid") == [(2, 1), (4, 3), (6, 5)]
+    day = lambda d, h=0: T0 + timedelta(days=d, hours=h)
+    batches = [
+        [(1, 1, "view", T0, 1.0), (2, 1, "buy", day(0, 1), 5.0), (3, 2, "view", day(0, 2), 1.0), (11, None, "buy", T0, 1.0)],
+        [(4, 2, "buy", day(1), 7.0), (5, 1, "view", day(1), 1.0), (8, 3, "buy", day(9), 1.0), (12, 3, "view", None, 1.0)],
+        [(6, 1, "buy", day(2), 9.0), (7, 1, "view", day(0, 3), 1.0), (9, 3, "view", day(4), 1.0)],
+        [(10, 1, "view", day(1, 23), 1.0), (13, 4, "buy", day(5, 1), 1.0), (14, 4, "view", day(0, 1), 1.0), (15, 4, "view", day(0, 0), 1.0)],
+    ]
+    folder = f"{tmp_path}/events"
+    schema = event_files(spark, folder, *[batches[i] for i in order])
+    stream = jobs.read_files(spark, folder, schema, files_per_batch=1)
+    bought = F.col("kind") == "buy"
+    finish(jobs.attribute_orders(stream, bought, ["who"], ["id"], "at", "id", {"tid": "id"}, f"{tmp_path}/out", f"{tmp_path}/progress", leaf_rows=2))
+    landed = spark.read.parquet(folder)
+    touches = landed.where(~bought).select("who", F.col("at").alias("t_at"), F.col("id").alias("tid"))
+    batch = last_touch(landed.where(bought), touches, ["who"], ["id"], "at", "t_at", "tid", ["tid"])
+    got = jobs.read_credits(spark, f"{tmp_path}/out")
+    assert rows(got, "id", "tid", "touch_at") == rows(batch, "id", "tid", "touch_at")
+    assert rows(got, "id", "tid") == [(13, 14), (2, 1), (4, 3), (6, 10), (8, 9)]
