@@ -67,32 +67,42 @@ def pairs_within(
     item: str,
     labels: Sequence[str],
     suffixes: tuple[str, str] = ("_a", "_b"),
-    block: int = 512,
+    block: int = 256,
 ) -> DataFrame:
     """Number of groups in which two different items occur together.
 
-    Repeats of an item in a group are folded first.  Groups with more than
-    ``block`` items are cut into blocks: one side keeps its block, the other is
-    copied to each, so the pairs of one huge group are built by many tasks and
-    every pair exactly once.
+    The items of a group, repeats folded, are packed into sorted blocks of about
+    ``block``: one for most groups, more for a group that an estimate says is larger.
+    Pairs inside a block are the triangle above its diagonal; pairs between two blocks
+    of a group are built where block i meets block j, for i < j alone, so one huge group
+    is built by many tasks and no pair is built to be thrown away.
     """
     a, b = suffixes
-    folded = items.filter(F.col(item).isNotNull()).select(*group, item, *labels).distinct()
-    for g in group:
-        folded = folded.filter(F.col(g).isNotNull())
+    known = [F.col(c).isNotNull() for c in (*group, item)]
+    rows = reduce(lambda df, c: df.where(c), known, items).select(*group, item, *labels)
     large = (
-        folded.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(*group)
+        .agg(F.approx_count_distinct(item).alias("_n"))
         .filter(F.col("_n") > block)
-        .select(*group, F.ceil(F.col("_n") / block).cast("long").alias("_blocks"))
+        .select(*group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     )
-    sized = folded.join(large, list(group), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
-    left = sized.withColumn("_block", F.pmod(F.xxhash64(item, *labels), F.col("_blocks"))).select(
-        *group, "_block", *[F.col(c).alias(c + a) for c in (item, *labels)]
+    sized = rows.join(large, list(group), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    entry = F.struct(F.col(item).alias("item"), *[F.col(c).alias(f"l{i}") for i, c in enumerate(labels)])
+    packed = sized.groupBy(*group, "_blocks", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int").alias("_block")).agg(
+        F.array_sort(F.collect_set(entry)).alias("_own")
     )
-    right = sized.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select(
-        *group, "_block", *[F.col(c).alias(c + b) for c in (item, *labels)]
-    )
-    joined = left.join(right, [*group, "_block"]).filter(F.col(item + a) < F.col(item + b))
-    grain = [c + s for s in (a, b) for c in (item, *labels)]
-    return joined.groupBy(*grain).agg(F.count(F.lit(1)).alias("together"))
+
+    def after(x: Column, i: Column) -> Column:
+        rest = F.filter(F.slice("_own", i + 2, F.size("_own")), lambda y: y["item"] > x["item"])
+        return F.transform(rest, lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    inside = packed.select(F.inline(F.flatten(F.transform("_own", after))))
+    several = packed.where("_blocks > 1")
+    low = several.select(*group, F.col("_block").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j"), F.col("_own").alias("_left")).where("_i < _j")
+    high = several.select(*group, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"), F.col("_block").alias("_j"), F.col("_own").alias("_right")).where("_i < _j")
+    in_order = lambda x, y: F.when(x["item"] < y["item"], F.struct(x.alias("x"), y.alias("y"))).otherwise(F.struct(y.alias("x"), x.alias("y")))
+    crossed = F.flatten(F.transform("_left", lambda x: F.transform("_right", lambda y: in_order(x, y))))
+    between = low.join(high, [*group, "_i", "_j"]).select(F.inline(crossed))
+    counted = inside.unionByName(between).groupBy("x", "y").agg(F.count(F.lit(1)).alias("together"))
+    names = [("item", item), *[(f"l{i}", c) for i, c in enumerate(labels)]]
+    return counted.select(*[F.col(f"{side}.{short}").alias(c + s) for side, s in (("x", a), ("y", b)) for short, c in names], "together")
