@@ -95,7 +95,7 @@ class MetricQuery:
     sort: tuple[str, bool] | None = None  # (field, descending)
     limit: int | None = None
     calcs: tuple[Calc, ...] = ()
-    pivot: tuple[str, tuple[str, ...]] | None = None  # (dimension, its values)
+    pivot: tuple[str, tuple[str, ...]] | None = None  # (dimension, values that come first)
 
     def with_filter(self, extra: Filter) -> "MetricQuery":
         return replace(self, filters=(*self.filters, extra))
@@ -170,14 +170,31 @@ def metric_query(
     return grouped
 
 
+#: Columns that a pivot may have per measure.
+MOST_COLUMNS = 500
+
+
 def spread(grouped: DataFrame, query: MetricQuery) -> DataFrame:
-    """Values of one dimension as columns, one per value and measure."""
-    name, values = query.pivot
+    """Values of one dimension as columns, one per value and measure.
+
+    The listed values lead, also those that do not occur; all others that do occur
+    follow in order, rows without a value under ``no_`` and the dimension.  More than :data:`MOST_COLUMNS` values fail.
+    """
+    name, listed = query.pivot
     measures = [*query.metrics, *[c.name for c in query.calcs]]
     rest = [d for d in query.dims if d != name]
+    found = [r[0] for r in grouped.select(name).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{name} has more than {MOST_COLUMNS} values")
+    if None in found:
+        none = f"no_{name}"
+        grouped, found = grouped.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit(none))), [none if v is None else str(v) for v in found]
+    values = [*listed, *sorted(v for v in found if v not in listed)]
+    if not values:
+        return grouped.select(*rest).distinct()
     if len(measures) == 1:
-        return grouped.groupBy(*rest).pivot(name, list(values)).agg(F.first(measures[0]))
-    return grouped.groupBy(*rest).pivot(name, list(values)).agg(*[F.first(m).alias(m) for m in measures])
+        return grouped.groupBy(*rest).pivot(name, values).agg(F.first(measures[0]))
+    return grouped.groupBy(*rest).pivot(name, values).agg(*[F.first(m).alias(m) for m in measures])
 
 
 def across_tiles(

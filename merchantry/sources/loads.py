@@ -8,35 +8,68 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchantry.operators.combine import union_all
 from merchantry.sources.sinks import write_table
+from merchantry.streaming.tables import Kept, Levelled, Run, State
 
 # Fixed value: where incremental loads begin.
 START = "2020-01-01 00:00:00"
 
 
-def newer_rows(landed: DataFrame, cursor: str, target: DataFrame | None = None, start: str = START) -> DataFrame:
-    """Landed rows past the target's greatest cursor value (or the start).
-
-    The high-water mark is a scalar subquery over the cursor column alone; it
-    stays on the executors and is pushed to the scan as a filter value.
-    """
-    kind = landed.schema[cursor].dataType
-    begin = F.lit(start).cast(kind)
-    if target is None:
-        return landed.filter(F.col(cursor) > begin)
-    mark = target.select(F.coalesce(F.max(F.col(cursor).cast(kind)), begin)).scalar()
-    return landed.filter(F.col(cursor) > mark)
+#: Level of the run that counts the loaded rows which a later load may meet again.
+SEEN = -1
+_SEEN = "digest string, undated boolean, n bigint"
 
 
 def append_increment(landed: DataFrame, path: str, cursor: str, start: str = START) -> None:
-    """Append the rows newer than what ``path`` already holds."""
+    """Load the rows of ``landed`` that the table under ``path`` does not hold yet.
+
+    A load takes rows past the mark, which is the greatest cursor value loaded so far
+    and kept in the table's manifest, so the table itself is not scanned.  Rows at the
+    mark's own instant and rows without a cursor cannot be told by the mark: of these
+    the table keeps digests with the number of rows each stands for, and a load takes
+    as many of them as ``landed`` has more.  So every row is loaded once, repeats as
+    often as they landed.  The first load takes what is past ``start``, and what has
+    no cursor.  Data, mark and digests become valid by one commit.
+    """
     spark = landed.sparkSession
-    target = spark.read.parquet(path) if exists(spark, path) else None
-    newer_rows(landed, cursor, target, start).write.mode("append").parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    table, seen_table = Levelled(spark, path), Kept(spark, path)
+    state = table.state()
+    batch = state.batch + 1 if state else 0
+    runs = state.runs if state else ()
+    schema = state.schema if state else landed.schema.json()
+    seen_schema = spark.createDataFrame([], _SEEN).schema.json()
+    kind = landed.schema[cursor].dataType
+    mark = F.lit(state.mark if state and state.mark is not None else start).cast(kind)
+    row = F.struct(*[F.col(f"`{c}`") for c in landed.columns])
+    at, digest = F.col(f"`{cursor}`"), F.sha2(F.to_json(row), 256)
+
+    seen = seen_table.read([r for r in runs if r.level == SEEN], seen_schema)
+    again = at.isNull() | (at == mark) if state else at.isNull()
+    lane = landed.where(again).groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.first(row).alias("row"))
+    known = seen.select("digest", F.col("n").alias("known"))
+    more = lane.join(known, "digest", "left").withColumn("more", F.col("n") - F.coalesce("known", F.lit(0))).where("more > 0")
+    repeated = more.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "more"))).select("row.*")
+    new = Run(f"run=0-{batch}-0")
+    table.write(landed.where(at > mark).unionByName(repeated), new.name)
+
+    loaded = table.read([new], schema)
+    top = loaded.select(F.greatest(F.max(at), mark).cast("string")).first()[0]
+    now = F.lit(top).cast(kind)
+    met = loaded.where(at.isNull() | (at == now)).select(digest.alias("digest"), at.isNull().alias("undated"), F.lit(1).cast("long").alias("n"))
+    stays = seen if state and top == state.mark else seen.where("undated")
+    counted = stays.unionByName(met).groupBy("digest", "undated").agg(F.sum("n").alias("n"))
+    marked = Run(f"run=0-{batch}-seen", SEEN)
+    table.write(counted, marked.name)
+    data = table.compacted([*[r for r in runs if r.level != SEEN], new], schema, f"run=0-{batch}")
+    table.commit(State(0, batch, schema, (*data, marked), top))
+
+
+def read_increments(spark: SparkSession, path: str) -> DataFrame:
+    """The rows loaded by :func:`append_increment`."""
+    table = Kept(spark, path)
+    state = table.state()
+    if state is None:
+        raise FileNotFoundError(f"nothing was loaded into {path}")
+    return table.read([r for r in state.runs if r.level != SEEN], state.schema)
 
 
 def full_refresh(

@@ -78,6 +78,7 @@ class State:
     batch: int
     schema: str
     runs: tuple[Run, ...] = field(default=())
+    mark: str | None = None  # how far a load has come
 
 
 class Kept:
@@ -91,7 +92,7 @@ class Kept:
         if not commits:
             return None
         found = json.loads(self.folder.read(f"manifest/{commits[-1]}"))
-        return State(found["epoch"], found["batch"], found["schema"], tuple(Run(**r) for r in found["runs"]))
+        return State(found["epoch"], found["batch"], found["schema"], tuple(Run(**r) for r in found["runs"]), found["mark"])
 
     def done(self, state: State | None, epoch: int, batch: int) -> bool:
         return state is not None and (state.epoch, state.batch) >= (epoch, batch)
@@ -99,7 +100,7 @@ class Kept:
     def commit(self, state: State) -> None:
         commits = self.folder.names("manifest/*.json")
         number = int(commits[-1].partition(".")[0]) + 1 if commits else 0
-        text = {"epoch": state.epoch, "batch": state.batch, "schema": state.schema, "runs": [vars(r) for r in state.runs]}
+        text = {"epoch": state.epoch, "batch": state.batch, "schema": state.schema, "runs": [vars(r) for r in state.runs], "mark": state.mark}
         self.folder.put(f"manifest/{number:012d}.json", json.dumps(text))
         self._sweep()
 
@@ -157,13 +158,17 @@ class Levelled(Kept):
         runs = [*state.runs] if state and state.epoch == epoch else []
         runs.append(Run(f"run={epoch}-{batch}-0"))
         self.write(rows, runs[-1].name, self.partition_by)
+        self.commit(State(epoch, batch, schema, self.compacted(runs, schema, f"run={epoch}-{batch}")))
+
+    def compacted(self, runs: Sequence[Run], schema: str, name: str) -> tuple[Run, ...]:
+        """The runs, with every full level combined into one run of the next."""
         level = 0
         while len(full := [r for r in runs if r.level == level]) >= self.fan:
-            merged = Run(f"run={epoch}-{batch}-{level + 1}", level + 1)
-            self.write(self.combine(self.read(full, schema)), merged.name, self.partition_by)
-            runs = [r for r in runs if r.level != level] + [merged]
             level += 1
-        self.commit(State(epoch, batch, schema, tuple(runs)))
+            merged = Run(f"{name}-{level}", level)
+            self.write(self.combine(self.read(full, schema)), merged.name, self.partition_by)
+            runs = [r for r in runs if r not in full] + [merged]
+        return tuple(runs)
 
     def rows(self) -> DataFrame:
         return self.combine(super().rows())

@@ -13,7 +13,8 @@ from merchantry.plans import semantic
 from merchantry.plans.checks import Checks, run_checks
 from merchantry.plans.semantic import Calc, Explore, Filter, MetricQuery, metric_query
 from merchantry.session import prepare, shared_folder
-from merchantry.sources import audit, loads
+from merchantry.sources import audit, loads, sinks
+from merchantry.sources.catalog import Catalog
 from merchantry.streaming import jobs
 from merchantry.workloads.exports import DOMAINS, SOURCES, ZIPS, pick
 from merchantry.workloads.oracle import REGION, _area, _month, _pick
@@ -439,12 +440,12 @@ def _(t):
     "pivot_month_status",
     f"""
     select {_month('o_orderdate')} as month, sum(o_totalprice) filter (o_orderstatus = 'F') as "F",
-      sum(o_totalprice) filter (o_orderstatus = 'O') as "O" from orders group by 1
+      sum(o_totalprice) filter (o_orderstatus = 'O') as "O", sum(o_totalprice) filter (o_orderstatus = 'P') as no_status from orders group by 1
     """,
-    "d:month r:F r:O",
+    "d:month r:F r:O r:no_status",
 )
 def _(t):
-    return _ask(t, ("month", "status"), ("revenue",), sort=("month", False), pivot=("status", ("F", "O")))
+    return _ask(t, ("month", "status"), ("revenue",), sort=("month", False), pivot=("status", ("O",)))
 
 
 @block(
@@ -779,17 +780,40 @@ def _(t):
 
 @block(
     "incremental_append",
-    "select o_orderkey, o_orderdate, o_totalprice from orders where o_orderdate > timestamp '1996-01-01'",
-    "n:o_orderkey t:o_orderdate r:o_totalprice",
+    f"select o_orderkey, if(o_orderkey % 11 = 0, null, {_month('o_orderdate')}) as landed_at, o_totalprice from orders",
+    "n:o_orderkey d:landed_at r:o_totalprice",
 )
 def _(t):
     path = shared_folder(t.spark, "increment")
-    orders = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice")
-    start = "1996-01-01 00:00:00"
-    # the first run sees the older half of the landed rows, the second run all of them
-    loads.append_increment(orders.filter(F.col("o_orderdate") < "1999-01-01"), path, "o_orderdate", start)
-    loads.append_increment(orders, path, "o_orderdate", start)
-    return t.spark.read.parquet(path)
+    cursor = F.when(F.pmod("o_orderkey", F.lit(11)) != 0, dates.month_start(F.col("o_orderdate")))
+    orders = t.orders.select("o_orderkey", cursor.alias("landed_at"), "o_totalprice")
+    # first the older months and half of the next one, half of those without a cursor too; then all rows, twice
+    half = F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == 0
+    older = (F.col("landed_at") < "1999-01-01") | half & F.coalesce(F.col("landed_at") == "1999-01-01", F.lit(True))
+    for part in (orders.filter(older), orders, orders):
+        loads.append_increment(part, path, "landed_at", "1900-01-01")
+    return loads.read_increments(t.spark, path)
+
+
+@block("alias_scan", "select c_custkey, c_name, c_acctbal from customer", "n:c_custkey c_name r:c_acctbal")
+def _(t):
+    root = shared_folder(t.spark, "raw")
+    t.customer.write.parquet(f"{root}/shop_alpha/CUSTOMERS_V2")
+    catalog = Catalog(t.spark, root, aliases={("shop", "customers", "alpha"): "CUSTOMERS_V2"})
+    return catalog.source("shop", "customers", "alpha").select("c_custkey", "c_name", "c_acctbal")
+
+
+@block(
+    "registered_views",
+    "select c_custkey, upper(c_mktsegment) as segment, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by all",
+    "n:c_custkey segment n:n",
+)
+def _(t):
+    shaped = t.customer.select("c_custkey", F.upper("c_mktsegment").alias("segment"))
+    sinks.register_views(t.spark, {"shaped_customers": shaped, "shaped_orders": t.orders.select("o_custkey", "o_orderkey")})
+    return t.spark.sql(
+        "select c_custkey, segment, count(o_orderkey) as n from shaped_customers left join shaped_orders on o_custkey = c_custkey group by all"
+    )
 
 
 @block("full_refresh", "select p_partkey, p_name, p_retailprice * 2 as price from part", "n:p_partkey p_name r:price")

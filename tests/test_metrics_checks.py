@@ -48,7 +48,11 @@ def test_group_sort_limit_and_calcs(fact):
 def test_dimension_only_and_pivot(fact):
     assert rows(ask(fact, ("kind",))) == [("A",), ("B",), (None,)]
     wide = ask(fact, ("m", "kind"), ("v",), sort=("m", False), pivot=("kind", ("A", "B")))
-    assert rows(wide) == [(date(2024, 1, 1), 1.0, None), (date(2024, 2, 1), 2.0, None), (date(2024, 3, 1), None, 3.0)]
+    assert wide.columns[:3] == ["m", "A", "B"] and set(wide.columns[3:]) <= {"no_kind"}
+    assert rows(wide, "m", "A", "B") == [(date(2024, 1, 1), 1.0, None), (date(2024, 2, 1), 2.0, None), (date(2024, 3, 1), None, 3.0)]
+    # values that nobody listed have their columns too
+    assert ask(fact, ("m", "kind"), ("v",), pivot=("kind", ("B",))).columns == ["m", "B", "A", *wide.columns[3:]]
+    assert ask(fact, ("m", "kind"), ("v",), pivot=("kind", ("Z", "B", "A"))).columns == ["m", "Z", "B", "A", *wide.columns[3:]]
 
 
 def test_top_k_plan(fact):

@@ -32,11 +32,27 @@ def test_catalog_paths_and_aliases(spark, tmp_path):
 
 def test_incremental_append_takes_each_row_once(spark, tmp_path):
     path = f"{tmp_path}/t"
-    old = spark.createDataFrame([(9, datetime(2019, 1, 1)), (8, None)], "id int, at timestamp")
-    loads.append_increment(landed(spark, 1, 2).unionByName(old), path, "at")
-    loads.append_increment(landed(spark, 1, 2, 2, 5), path, "at")
-    loads.append_increment(landed(spark, 1, 2, 2, 5), path, "at")
-    assert rows(spark.read.parquet(path), "id") == [(0,), (1,), (3,)]
+    with pytest.raises(FileNotFoundError):
+        loads.read_increments(spark, path)
+    old = spark.createDataFrame([(9, datetime(2019, 1, 1)), (8, None), (8, None)], "id int, at timestamp")
+    late = spark.createDataFrame([(20, T0 + timedelta(hours=2)), (1, T0 + timedelta(hours=2)), (7, None), (8, None)], "id int, at timestamp")
+    first = landed(spark, 1, 2).unionByName(old)
+    want = [(0,), (1,), (8,), (8,)]
+    for part, more in ((first, []), (first, []), (first.unionByName(late), [(20,), (1,), (7,), (8,)]), (first.unionByName(late).unionByName(landed(spark, 1, 2, 2, 5)), [(2,), (3,), (1,)])):
+        loads.append_increment(part, path, "at")
+        want = sorted(want + more, key=str)
+        assert rows(loads.read_increments(spark, path), "id") == want
+    loads.append_increment(landed(spark, 1).limit(0), path, "at")
+    assert rows(loads.read_increments(spark, path), "id") == want
+
+
+def test_an_increment_does_not_scan_its_target(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for hour in range(1, 8):
+        loads.append_increment(landed(spark, *range(1, hour + 1)), path, "at")
+    assert loads.read_increments(spark, path).count() == 7
+    state = Levelled(spark, path).state()
+    assert state.mark.startswith("2024-01-01 07") and len([r for r in state.runs if r.level >= 0]) <= 4
 
 
 def test_full_refresh_swaps_whole_versions(spark, tmp_path):
