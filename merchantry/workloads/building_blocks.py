@@ -13,7 +13,7 @@ from merchantry.plans import semantic
 from merchantry.plans.checks import Checks, run_checks
 from merchantry.plans.semantic import Calc, Explore, Filter, MetricQuery, metric_query
 from merchantry.session import prepare, shared_folder
-from merchantry.sources import audit, loads, sinks
+from merchantry.sources import audit, loads, purge, sinks
 from merchantry.sources.catalog import Catalog
 from merchantry.streaming import jobs
 from merchantry.workloads.exports import DOMAINS, SOURCES, ZIPS, pick
@@ -737,6 +737,43 @@ def _(t):
     return audit.purge(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), other, "l_orderkey", "o_orderkey")
 
 
+@block(
+    "contamination_purge_store",
+    """
+    with foreign_orders as (select o_orderkey from orders where o_orderstatus <> 'F')
+    select 'orders' as table_name, o_orderkey as id, null as line from orders where o_orderstatus <> 'P' and o_orderkey not in (from foreign_orders)
+    union all select 'customers', c_custkey, null from customer where c_nationkey % 5 <> 0
+    union all select 'order_line_items', l_orderkey, l_linenumber from lineitem where l_orderkey not in (from foreign_orders)
+    union all select 'products', p_partkey, null from part where p_partkey not between 40 and 60
+    union all select 'product_variants', s_suppkey, null from supplier where s_suppkey >= 0
+    """,
+    "table_name n:id n:line",
+)
+def _(t):
+    own = {
+        "orders": t.orders.filter(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("id")),
+        "customers": t.customer.select(F.col("c_custkey").alias("id")),
+        "order_line_items": t.lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line")),
+        "products": t.part.select(F.col("p_partkey").alias("id")),
+        "product_variants": t.supplier.select(F.col("s_suppkey").alias("id")),
+    }
+    other = {
+        "orders": t.orders.filter(F.col("o_orderstatus") != "F").select(F.col("o_orderkey").alias("id")),
+        "customers": t.customer.filter(F.col("c_nationkey") % 5 == 0).select(F.col("c_custkey").alias("id")),
+        "products": t.part.filter(F.col("p_partkey").between(40, 60)).select(F.col("p_partkey").alias("id")),
+        "product_variants": t.supplier.filter(F.col("s_suppkey") < 0).select(F.col("s_suppkey").alias("id")),
+    }
+    root, target, left = shared_folder(t.spark, "store"), shared_folder(t.spark, "purged"), []
+    for name, rows in own.items():
+        rows.repartitionByRange(rows.columns[0]).write.parquet(f"{root}/{name}")
+    purge.purge_store(t.spark, {name: f"{root}/{name}" for name in own}, other, target)
+    for name, rows in own.items():
+        line = F.col("line") if "line" in rows.columns else F.lit(None)
+        kept = purge.read_purged(t.spark, target, name, rows.schema)
+        left.append(kept.select(F.lit(name).alias("table_name"), F.col(rows.columns[0]).alias("id"), line.cast("long").alias("line")))
+    return combine.union_all(left)
+
+
 @block(
     "quality_report",
     """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from merchantry.operators import ranking
 from merchantry.session import shared_folder
-from merchantry.sources import audit, loads, sinks
+from merchantry.sources import audit, loads, purge, sinks
 from merchantry.sources.catalog import Catalog
 from merchantry.streaming import jobs
 from merchantry.streaming.tables import KEPT, Hashed, Levelled
@@ -91,6 +91,28 @@ def test_audit_and_purge(spark):
     assert rows(audit.purge(own, other), "id") == [(1,), (None,)]
 
 
+def test_purge_writes_only_files_with_foreign_rows_again(spark, tmp_path):
+    own, target = {}, f"{tmp_path}/purged"
+    for name in purge.RULES:
+        key = purge.RULES[name].key
+        df = spark.range(40).select(F.when(F.col("id") != 39, F.col("id")).alias(key), F.lit(name).alias("of"))
+        df.repartitionByRange(4, key).write.parquet(f"{tmp_path}/{name}")
+        own[name] = f"{tmp_path}/{name}"
+    other = {name: spark.createDataFrame([(k,) for k in ids] + [(None,)], "id long") for name, ids in (("orders", [3, 4, 900]), ("customers", []), ("products", range(40)), ("product_variants", [0, 38]))}
+    assert purge.purge_store(spark, own, other, target) == {"orders": 1, "customers": 0, "order_line_items": 1, "products": 4, "product_variants": 2}
+    schema = {name: spark.read.parquet(path).schema for name, path in own.items()}
+    left = {name: sorted((r[0] for r in purge.read_purged(spark, target, name, schema[name]).collect()), key=str) for name in own}
+    keys = lambda gone: sorted([*({*range(39)} - {*gone}), None], key=str)
+    assert left == {"orders": keys([3, 4]), "customers": keys([]), "order_line_items": keys([3, 4]), "products": keys(range(39)), "product_variants": keys([0, 38])}
+    files = lambda name: {*purge.read_purged(spark, target, name, schema[name]).inputFiles()}
+    assert len(files("orders") & {*spark.read.parquet(own["orders"]).inputFiles()}) == 3
+    # the next purge goes on from there
+    other["orders"] = spark.createDataFrame([(10,)], "id long")
+    assert purge.purge_store(spark, own, other, target)["orders"] == 1
+    assert purge.read_purged(spark, target, "orders", schema["orders"]).count() == 37
+    assert spark.read.parquet(own["orders"]).count() == 40
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(6).select("id", (F.col("id") % 2).alias("m"))
     sinks.write_table(df, f"{tmp_path}/t", ("m",))
