@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
-
-from merchantry.operators.combine import union_all
+from pyspark.sql import Column, DataFrame, functions as F
 
 AUDIENCES = ("remarketing", "acquisition", "other")
 INTENTS = ("branded", "non_branded")
@@ -106,41 +105,38 @@ DECLARED = {
 RESULT = "table_name string, check_name string, column_name string, failures bigint"
 
 
-def _repeats(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Number of key values that occur more than once; keys with a null do not count."""
-    columns = list(columns)
-    known = df.select(*columns).dropna(subset=columns)
-    groups = known.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.count_if(F.col("_n") > 1).alias("failures"))
-
-
 def run_checks(df: DataFrame, table: str, checks: Checks) -> DataFrame:
-    """One row per check with its number of failures.
+    """One row per check with its number of failures, in one pass over the table.
 
-    All row-wise checks share one aggregate pass; every uniqueness check is one
-    aggregate of its own on its key.
+    A row gives an entry to each check that it may fail: to a row-wise check if it does,
+    to a uniqueness check a 128-bit hash of its key, unless a part of the key is null.
+    Equal entries are counted before they are moved, and once more after.
     """
-    row_wise = [("not_null", c, F.col(c).isNull()) for c in checks.required.split()]
-    row_wise += [("accepted_values", c, ~F.col(c).isin(*v)) for c, v in checks.accepted.items()]
-    row_wise += [("accepted_range", c, F.col(c) < 0) for c in checks.not_negative.split()]
-    parts = []
-    if row_wise:
-        counts = df.agg(*[F.count_if(bad).alias(f"f{i}") for i, (_, _, bad) in enumerate(row_wise)])
-        lines = F.array(
-            *[
-                F.struct(F.lit(k).alias("check_name"), F.lit(c).alias("column_name"), F.col(f"f{i}").alias("failures"))
-                for i, (k, c, _) in enumerate(row_wise)
-            ]
-        )
-        parts.append(counts.select(F.inline(lines)))
+    named, entries = [], []
+
+    def entry(kind: str, columns: str, given: Column, *hashes: Column) -> None:
+        found = F.struct(F.lit(len(named)).alias("i"), *[h.cast("long").alias(f"h{k}") for k, h in enumerate(hashes)])
+        entries.append(F.when(given, found))
+        named.append((len(named), kind, columns))
+
+    none = F.lit(None)
+    for c in checks.required.split():
+        entry("not_null", c, F.col(c).isNull(), none, none)
+    for c, values in checks.accepted.items():
+        entry("accepted_values", c, ~F.col(c).isin(*values), none, none)
+    for c in checks.not_negative.split():
+        entry("accepted_range", c, F.col(c) < 0, none, none)
     keys = [("unique", [c]) for c in checks.unique.split()]
     if checks.unique_together:
         keys.append(("unique_combination", list(checks.unique_together)))
     for kind, columns in keys:
-        parts.append(
-            _repeats(df, columns).select(
-                F.lit(kind).alias("check_name"), F.lit(",".join(columns)).alias("column_name"), "failures"
-            )
-        )
-    stacked = union_all(parts)
-    return stacked.select(F.lit(table).alias("table_name"), "check_name", "column_name", F.col("failures").cast("long"))
+        known = reduce(and_, [F.col(c).isNotNull() for c in columns])
+        entry(kind, ",".join(columns), known, F.xxhash64(*columns), F.xxhash64(F.lit(len(columns)), *columns))
+    if not named:
+        return df.sparkSession.createDataFrame([], RESULT)
+    stacked = df.select(F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
+    counted = stacked.groupBy("i", "h0", "h1").agg(F.count(F.lit(1)).alias("n"))
+    row_wise = F.col("h0").isNull()
+    failed = counted.groupBy("i").agg(F.sum(F.when(row_wise, F.col("n")).otherwise((F.col("n") > 1).cast("long"))).alias("failures"))
+    listed = df.sparkSession.createDataFrame(named, "i int, check_name string, column_name string")
+    return listed.join(failed, "i", "left").select(F.lit(table).alias("table_name"), "check_name", "column_name", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))

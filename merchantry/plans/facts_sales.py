@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -148,10 +149,11 @@ def dim_stock_customers(customers: DataFrame, sales: DataFrame) -> DataFrame:
     )
 
 
-def _best_per_email(df: DataFrame, id_column: str, kept: Sequence[str]) -> DataFrame:
-    order = [F.col("last_updated_at").desc_nulls_last(), F.col(id_column).asc_nulls_last()]
-    known = df.filter(F.col("email").isNotNull()).select("email", id_column, "last_updated_at", *kept)
-    return ranking.top_n_per_group(known, ["email"], order).drop("last_updated_at")
+def _best_per_email(df: DataFrame, side: str, id_column: str, kept: Sequence[str]) -> DataFrame:
+    """(email, side, order of the side): the side's columns as a struct, and a struct whose least value is the best row's."""
+    at, own = F.col("last_updated_at").cast("timestamp"), F.col(id_column)
+    order = F.struct(at.isNull().alias("a"), (-F.unix_micros(at)).alias("b"), own.isNull().alias("c"), own.alias("d"), *kept)
+    return df.filter(F.col("email").isNotNull()).select("email", F.struct(id_column, *kept).alias(side), order.alias(f"{side}_order"))
 
 
 def dim_customer_unified(
@@ -159,28 +161,29 @@ def dim_customer_unified(
 ) -> DataFrame:
     """One row per email over the CRM and every shop.
 
-    Each side is cut to one row per email first; those results are laid out by
-    email, so the joins to the union of emails need no further shuffle.
+    The rows of all sides are stacked and merged by one aggregate, which takes the best
+    row of each side and sums up each shop: every table is read once, and rows move once,
+    by email, after they were merged where they are.
     """
-    ledger = _best_per_email(
-        ledgers, "sales_ledger_id",
-        ["customer_name", "country", "is_b2c", "balance", "credit_limit", "currency_code", "last_invoice_at"],
-    ).withColumn("_in_crm", F.lit(True))
-    contact = _best_per_email(contacts, "contact_id", ["full_name", "klaviyo_id", "opt_in"])
-    shops = {}
-    for sid in store_ids:
-        one = shop_customers.filter((F.col("store_id") == sid) & F.col("email").isNotNull())
-        shops[sid] = one.groupBy("email").agg(
-            F.sum(F.coalesce("total_spent", F.lit(0.0))).alias(f"_spent_{sid}"),
-            F.sum(F.coalesce("orders_count", F.lit(0))).alias(f"_orders_{sid}"),
-            F.bool_or(F.coalesce("accepts_marketing", F.lit(False))).alias(f"_marketing_{sid}"),
-            F.max("first_name").alias(f"_first_{sid}"),
-            F.max("last_name").alias(f"_last_{sid}"),
-        )
-    sides = [ledger, contact, *shops.values()]
-    joined = combine.union_all(s.select("email") for s in sides).distinct()
-    for side in sides:
-        joined = joined.join(side, ["email"], "left")
+    crm = {
+        "_ledger": (ledgers, "sales_ledger_id", ["customer_name", "country", "is_b2c", "balance", "credit_limit", "currency_code", "last_invoice_at"]),
+        "_contact": (contacts, "contact_id", ["full_name", "klaviyo_id", "opt_in"]),
+    }
+    shops = shop_customers.filter(F.col("store_id").isin(*store_ids) & F.col("email").isNotNull())
+    sides = [_best_per_email(df, side, own, kept) for side, (df, own, kept) in crm.items()]
+    sides.append(shops.select("email", "store_id", "total_spent", "orders_count", "accepts_marketing", "first_name", "last_name"))
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), sides)
+    merged = [F.min_by(side, f"{side}_order").alias(side) for side in crm]
+    for s in store_ids:
+        of = lambda value, s=s: F.when(F.col("store_id") == s, value)
+        merged += [
+            F.sum(of(F.coalesce("total_spent", F.lit(0.0)))).alias(f"_spent_{s}"),
+            F.sum(of(F.coalesce("orders_count", F.lit(0)))).alias(f"_orders_{s}"),
+            F.bool_or(of(F.coalesce("accepts_marketing", F.lit(False)))).alias(f"_marketing_{s}"),
+            F.max(of(F.col("first_name"))).alias(f"_first_{s}"),
+            F.max(of(F.col("last_name"))).alias(f"_last_{s}"),
+        ]
+    joined = stacked.groupBy("email").agg(*merged).select("*", "_ledger.*", "_contact.*")
 
     zero, no = F.lit(0.0), F.lit(False)
     seen = {s: F.col(f"_spent_{s}").isNotNull() for s in store_ids}
@@ -191,7 +194,7 @@ def dim_customer_unified(
 
     in_shop = scalars.any_of(seen.values())
     n_shops = sum((c.cast("int") for c in seen.values()), F.lit(0))
-    in_crm = F.col("_in_crm").isNotNull()
+    in_crm = F.col("_ledger").isNotNull()
     universe = F.when(in_crm & in_shop, "crm_and_shopify").when(in_crm, "crm_only").when(
         n_shops > 1, "both_shopify_stores"
     )

@@ -129,3 +129,15 @@ def test_displayed_values_filter_the_stored_column(spark, tmp_path):
     got, plan = total(Filter("order_month_label", "equals", ("2024-02", "not a month")), Filter("store_id", "equals", ("Beta Store",)))
     assert got == 2
     assert "PushedFilters: [In(store_id" in plan and "PartitionFilters: [isnotnull(order_month" in plan
+
+
+def test_all_checks_of_a_table_read_it_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a", None, -1.0), (1, "b", "x", 2.0), (2, "b", "y", 3.0), (None, "c", "y", None)], "k int, s string, t string, v double").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    got = checks.run_checks(table, "t", checks.Checks("k t", "k s", "v", {"s": ("a", "b")}, ("s", "t")))
+    assert rows(got, "check_name", "column_name", "failures") == [
+        ("accepted_range", "v", 1), ("accepted_values", "s", 1), ("not_null", "k", 1), ("not_null", "t", 1), ("unique", "k", 1), ("unique", "s", 1), ("unique_combination", "s,t", 0),
+    ]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Expand") == 0
+    assert checks.run_checks(table, "t", checks.Checks()).count() == 0
