@@ -103,21 +103,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def free_name(base: str, df: DataFrame) -> str:
+    """``base``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def keep_rows(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, ``digest`` of the text) is in ``keys`` (doc_id, digest, n; distinct, may hold null ids), one row of each.
 
     Rows with the same id, or without one, all stay if their texts differ.  Of the n
     rows of a key the longest text stays, then the first in the order of all columns.
     Only keys with several rows are ranked; the rank filter is applied before their
-    shuffle as well.
+    shuffle as well.  Further columns of ``docs`` may have any name.
     """
-    named = docs.withColumn("_digest", digest)
+    own, key, key_digest, nth = (free_name(c, docs) for c in ("digest", "key_id", "key_digest", "nth"))
+    named = docs.withColumn(own, digest)
 
     def within(part: DataFrame) -> DataFrame:
-        wanted = part.select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d")).hint("shuffle_hash")
-        return named.join(wanted, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left_semi")
+        wanted = part.select(F.col("doc_id").alias(key), F.col("digest").alias(key_digest)).hint("shuffle_hash")
+        return named.join(wanted, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(key_digest)), "left_semi")
 
     longest = F.length(F.coalesce("text", F.lit(""))).desc()
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(longest, *[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    several = within(keys.where("n > 1")).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return within(keys.where("n = 1")).unionByName(several).drop("_digest")
+    rank = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(longest, *[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    several = within(keys.where("n > 1")).withColumn(nth, rank).where(F.col(nth) == 1).drop(nth)
+    return within(keys.where("n = 1")).unionByName(several).drop(own)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from merchantry.llm.common import written
+from merchantry.llm.common import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,38 +119,44 @@ def rounded(docs: DataFrame, places: int, conf: MixConfig) -> DataFrame:
             return out.unionByName(last)
 
 
-def mix_sources(docs: DataFrame, conf: MixConfig = MixConfig()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) per row of ``docs`` (doc_id, text, source).
-
-    Size is the number of words, 0 for null or blank texts.  Documents of size 0 take
-    nothing and have as many copies as fit whole.  A source without words has target
-    0.  A null source is a source, the last.  Rows that repeat a doc_id are rounded
-    each for itself.  Results depend on the rows and the seed alone.
-    """
+def _mixed(docs: DataFrame, row: Column, conf: MixConfig) -> DataFrame:
+    """(row, doc_id, size, source_size, target, base, extra copies) per row of ``docs``; ``row`` tells rows apart and may be null."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sizes = written(docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     sources = written(targets(sizes, conf), "targets")
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.xxhash64(F.lit(conf.seed), "doc_id"), F.col("doc_id")]
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.xxhash64(F.lit(conf.seed), "doc_id"), F.col("doc_id"), F.col("row")]
     placed = numbered(sizes, *order)
     starts = sources.select("source", "source_size", "target", "n_docs", F.col("nr").alias("source_nr"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-9)
     part = F.greatest(rate - whole, F.lit(0.0))
-    joined = placed.join(starts, placed["source"].eqNullSafe(starts["source"])).select("doc_id", "size", "source_size", "target", "source_nr", F.col("nr").alias("pos"), whole.cast("long").alias("base"), part.alias("part"))
+    joined = placed.join(starts, placed["source"].eqNullSafe(starts["source"])).select("row", "doc_id", "size", "source_size", "target", "source_nr", F.col("nr").alias("pos"), whole.cast("long").alias("base"), part.alias("part"))
     joined = written(joined, "placed")
     open_ = joined.where("size > 0 and part > 1e-9").select("source_nr", F.col("pos").alias("place"), "pos", "size", (F.col("part") * F.col("size")).alias("words"))
     extra = rounded(open_, joined.count(), conf)
     copies = F.col("base") + F.when(F.coalesce("whole", F.lit(False)), 1).otherwise(0)
-    result = joined.join(extra, "pos", "left").withColumn("copies", copies.cast("long"))
-    return result.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return joined.join(extra, "pos", "left").withColumn("copies", copies.cast("long"))
+
+
+def mix_sources(docs: DataFrame, conf: MixConfig = MixConfig()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) per row of ``docs`` (doc_id, text, source).
+
+    Size is the number of words, 0 for null or blank texts.  Documents of size 0 take
+    nothing and have as many copies as fit whole.  A source without words has target
+    0.  A null source is a source, the last.  Rows that repeat a doc_id are rounded
+    each for itself.  Results depend on the rows and the seed alone.
+    """
+    mixed = _mixed(docs, F.lit(None), conf)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_rows(docs: DataFrame, conf: MixConfig = MixConfig()) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns.
 
-    Rows that repeat a doc_id are each taken as often as they are on average, rounded.
+    Rows are numbered when they are written, and each is taken by its own number, also
+    where ids are null or repeat.  Further columns may have any name.
     """
-    copies = mix_sources(docs, conf).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
-    copies = copies.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, copy = free_name("row", docs), free_name("copy", docs)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = _mixed(rows, F.col(row), conf).where("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1).cast("long"), "copies").alias(copy)).hint("shuffle_hash")
+    return rows.join(taken, row).withColumn(copy, F.explode(copy)).select(*[F.col(f"`{c}`") for c in docs.columns])

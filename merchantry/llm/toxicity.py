@@ -19,14 +19,15 @@ from merchantry.llm.common import Chunk, chunks, written
 #: Punctuation between words becomes a space; the ends of sentences become words of their own.
 BLANK = b",;:()[]{}\"'|*#$%&<>/\\_+=~^@-"
 BLANKED = bytes.maketrans(BLANK, b" " * len(BLANK))
+#: Bytes of text held at a time: a word takes about a dozen numbers on its way to a score.
+LIMIT = 2 << 20
 
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    """Bounds: texts learned from, and words with a weight (each in at least ``least_texts`` of them)."""
+    """At most ``most_labelled`` texts are learned from; every word that at least ``least_texts`` of them hold has a weight."""
 
     most_labelled: int = 24_000
-    most_words: int = 1 << 16
     least_texts: int = 4
     rounds: int = 20
     step: float = 0.4
@@ -125,7 +126,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
     """(h, clean, toxic): in how many clean and toxic texts of the sample each word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, lower=True, split=split_words):
+        for chunk in chunks(batches, lower=True, limit=LIMIT, split=split_words):
             doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
             pair = np.unique(doc * np.int64(len(chunk.words) + 1) + chunk.stream)
             word, y = pair % (len(chunk.words) + 1), np.array(chunk.rows.column("y").to_pylist(), np.int64)[pair // (len(chunk.words) + 1)]
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, conf: ToxicConfig = ToxicConfig())
     if not n_toxic:
         return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -12.0)
     total = F.col("clean") + F.col("toxic")
-    top = word_counts(sample).where(total >= conf.least_texts).orderBy(total.desc(), "h").limit(conf.most_words).toPandas()
+    top = word_counts(sample).where(total >= conf.least_texts).toPandas()  # bounded by the sample
     words = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     words, clean, toxic = words[order], top["clean"].to_numpy(float)[order], top["toxic"].to_numpy(float)[order]
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, conf: ToxicConfig = ToxicConfig())
     known = spark.sparkContext.broadcast(words)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, lower=True, split=split_words):
+        for chunk in chunks(batches, lower=True, limit=LIMIT, split=split_words):
             bags = bags_of(chunk, known.value)
             y = np.array(chunk.rows.column("y").to_pylist(), np.int32)
             parts = [bags.feature.astype(np.int32), bags.sentence.astype(np.int32), bags.bag.astype(np.int32), y]
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: ToxicModel, conf: ToxicConfig = ToxicConfig())
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, lower=True, split=split_words):
+        for chunk in chunks(batches, lower=True, limit=LIMIT, split=split_words):
             bags = bags_of(chunk, held.value.words)
             scores, p = held.value.scores(bags)
             bad = np.flatnonzero(p >= conf.threshold)
@@ -235,7 +236,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, conf: ToxicConfig = ToxicConf
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, lower=True, split=split_words):
+        for chunk in chunks(batches, lower=True, limit=LIMIT, split=split_words):
             scores, _ = held.value.scores(bags_of(chunk, held.value.words))
             yield from chunk.rows.filter(pa.array(scores < conf.threshold)).to_batches()
 
