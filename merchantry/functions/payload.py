@@ -62,17 +62,22 @@ def convert(col: Column, kind: T.DataType, to: str) -> Column:
         return col.cast(to)
     if isinstance(kind, T.StringType) and to in ("bigint", "long", "int", "integer"):
         # whole numbers may be written as 12.0 or 1.2e1; other fractions round, as a cast does in the warehouse
-        whole = F.round(col.try_cast("double").try_cast("decimal(38,6)"), 0).try_cast(to)
+        whole = F.round(col.try_cast("decimal(38,6)"), 0).try_cast(to)
         return F.coalesce(col.try_cast(to), whole)
     return col.try_cast(to)
 
 
-def field(df: DataFrame, path: str | Sequence[str], to: str) -> Column:
-    """Value at ``path`` of a frame; a plain string names a top-level column."""
+def field(df: DataFrame, path: str | Sequence[str], to: str, optional: bool = False) -> Column:
+    """Value at ``path`` of a frame; a plain string names a top-level column.
+
+    A top-level column that is not there is an error, unless it is ``optional`` and then null.
+    """
     steps = [path] if isinstance(path, str) else list(path)
     actual = {c.lower(): c for c in df.columns}.get(steps[0].lower())
-    if actual is None:
+    if actual is None and optional:
         return F.lit(None).cast(to)
+    if actual is None:
+        raise KeyError(f"the export has no column {steps[0]}, only {', '.join(df.columns)}")
     return dig(F.col(f"`{actual}`"), df.schema[actual].dataType, steps[1:], to)
 
 

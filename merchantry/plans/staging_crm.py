@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from merchantry.functions import dates, scalars
 from merchantry.plans.staging_stock import newest
@@ -100,36 +100,20 @@ COLUMNS = {
         ordered_at orderdate, invoiced_at invoicedate, delivered_at deliverydate""",
 }
 
-# Types given to columns an export does not carry (they are null then).
-NUMBERS = ("value", "price", "qty", "balance", "limit", "percent", "rate", "latitude", "longitude")
-FLAGS = ("is_", "opt_in", "email_bounced")
-
-
 def renames(table: str) -> dict[str, str]:
     pairs = [p.split() for p in COLUMNS[table].split(",")]
     return {p[0]: p[-1] for p in pairs}
 
 
-def _absent_type(name: str) -> T.DataType:
-    if name.endswith("_at"):
-        return T.TimestampType()
-    if name.startswith(FLAGS):
-        return T.BooleanType()
-    if any(word in name for word in NUMBERS):
-        return T.DoubleType()
-    return T.StringType()
-
-
 def _named(table: str, raw: DataFrame) -> DataFrame:
+    """The newest rows under their readable names; a column that the export lacks is an error."""
     names = renames(table)
     df = newest(raw, KEYS[table], list(names.values()))
     present = {c.lower(): c for c in df.columns}
-    return df.select(
-        *[
-            (F.col(f"`{present[src]}`") if src in present else F.lit(None).cast(_absent_type(out))).alias(out)
-            for out, src in names.items()
-        ]
-    )
+    missing = [src for src in names.values() if src not in present]
+    if missing:
+        raise KeyError(f"the export {table} has no column {', '.join(missing)}")
+    return df.select(*[F.col(f"`{present[src]}`").alias(out) for out, src in names.items()])
 
 
 def addresses(raw: DataFrame) -> DataFrame:

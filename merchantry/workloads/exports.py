@@ -83,6 +83,66 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores, df.columns[0])
 
 
+# Raw columns that carry made-up values of their own, by type: text, numbers, flags and times that follow from a key.
+REST = {
+    "addresses": {
+        "text": "outcode postcoderegion postcodetype addressline2 addressline3 addressline4 addressline5",
+        "number": "latitude longitude",
+        "time": "lastupdatedtimestamp",
+    },
+    "companies": {
+        "text": "typeid alternatereference",
+        "time": "firstorder lapsed unlapsed lastupdatedtimestamp",
+    },
+    "contacts": {
+        "text": "title jobtitle department phonenumber mobilephonenumber addressid mainaddressid deliveryaddressid divisionid",
+        "flag": "emailbounced",
+        "time": "created",
+    },
+    "leads": {
+        "text": "ownerid salespersonid responsibleuser pipelineid statusid statusdetailid statusflag sourceid sourceother typeid sizeid objectiveid addressid divisionid guttometer utmmedium utmname utmcontent",
+        "number": "worstvalue likelyvalue weightedvalue marginvalue",
+        "time": "closedate estimatedclose statuschanged lastactiveengagement firstactiveengagement lastupdatedtimestamp",
+    },
+    "product_items": {
+        "text": "barcode extendeddescription webdescription webproductreference cataloguecode cataloguereference alternatereference1 alternatereference2 manufacturerreference",
+        "number": "costprice saleprice nextprice decimalcostprice decimalsellingprice",
+        "flag": "sellable stocked",
+        "time": "created lastupdatedtimestamp",
+    },
+    "sales_invoice_headers": {
+        "text": "creditnotenumber platform statusflag transactiontypeid",
+        "number": "basenetvalue basetaxvalue basegrossvalue",
+        "time": "duedate",
+    },
+    "sales_ledgers": {
+        "text": "postcode customertypeid customercode",
+        "flag": "iscashaccount",
+        "time": "created lastinvoice lastreceipt",
+    },
+    "sales_order_headers": {
+        "text": "salespersonid divisionid statusflag customerreference alternatereference deliveryname salesordergroupcode",
+        "number": "basenetvalue basetaxvalue basegrossvalue",
+        "time": "shippeddate duedate",
+    },
+    "sales_transactions": {
+        "number": "price grossvalue basevalue basegrossvalue costprice",
+        "text": "statusflag warehousecode departmentcode",
+        "time": "invoicedate deliverydate",
+    },
+}
+
+
+def rest(table: str, key: str) -> list[Column]:
+    made = {
+        "text": lambda c, i: F.concat(F.lit(f"{c}-"), F.pmod(key, F.lit(97)).cast("string")),
+        "number": lambda c, i: F.pmod(key, F.lit(1000)) + F.lit(i + 0.25),
+        "flag": lambda c, i: F.pmod(F.col(key) + i, F.lit(3)) == 1,
+        "time": lambda c, i: F.timestamp_seconds(F.lit(1600000000 + 86400 * i) + F.pmod(key, F.lit(5000000))),
+    }
+    return [made[kind](c, i).alias(c) for kind, names in REST[table].items() for i, c in enumerate(names.split())]
+
+
 class Exports:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -428,6 +488,7 @@ class Exports:
             F.when(segment == "HOUSEHOLD", True).when(segment != "MACHINERY", False).alias("isb2c"),
             F.col("c_acctbal").alias("balance"), (F.col("c_acctbal") + 1000).alias("creditlimit"),
             F.when(F.pmod(key, F.lit(5)) != 0, F.timestamp_seconds(F.lit(1700000000) + key)).alias("lastupdatedtimestamp"),
+            *rest("sales_ledgers", "c_custkey"),
         )
         return versions(rows, {"name": F.lit("stale"), "isb2c": F.lit(True)})
 
@@ -441,6 +502,7 @@ class Exports:
             F.when(F.pmod(key, F.lit(2)) == 0, join_text("kl", key)).alias("klaviyoid"),
             (F.pmod(key, F.lit(3)) == 0).alias("optin"),
             F.timestamp_seconds(F.lit(1700000000) - key).alias("lastupdatedtimestamp"),
+            *rest("contacts", "c_custkey"),
         )
         return versions(rows, {"surname": F.lit("stale")})
 
@@ -449,6 +511,7 @@ class Exports:
             F.col("s_suppkey").alias("companyid"), F.col("s_name").alias("name"),
             F.col("s_nationkey").alias("accountmanagerid"), F.lit("A").alias("statusflag"), F.lit("web").alias("source"),
             F.timestamp_seconds(F.lit(1700000000) + F.col("s_suppkey")).alias("created"),
+            *rest("companies", "s_suppkey"),
         )
         return versions(rows, {"name": F.lit("stale")})
 
@@ -458,6 +521,7 @@ class Exports:
             F.col("value").alias("value"), (F.col("value") * 2).alias("bestvalue"),
             F.col("event_type").alias("utmsource"), F.get_json_object("props", "$.k").alias("utmterm"),
             F.col("ts").alias("created"),
+            *rest("leads", "event_id"),
         )
         return versions(rows, {"value": F.lit(-1.0)})
 
@@ -467,6 +531,7 @@ class Exports:
             F.when(F.col("p_size") != 1, F.col("p_name")).alias("description"), F.col("p_brand").alias("manufacturer"),
             F.col("p_type").alias("categoryid"), F.col("p_size").alias("productfamilyid"), F.lit("stock").alias("type"),
             F.col("p_retailprice").alias("sellingprice"), (F.col("p_size") == 50).alias("obsolete"),
+            *rest("product_items", "p_partkey"),
         )
         return versions(rows, {"sellingprice": F.lit(-1.0), "manufacturer": F.lit("stale")})
 
@@ -476,6 +541,7 @@ class Exports:
             join_text("A", key).alias("addressid"), join_text("N", F.col("c_nationkey")).alias("country"),
             pick(ZIPS, key).alias("postcode"), F.col("c_nationkey").alias("regionnumber"),
             F.col("c_name").alias("addressline1"), F.timestamp_seconds(F.lit(1700000000) + key).alias("created"),
+            *rest("addresses", "c_custkey"),
         )
         return versions(rows, {"addressline1": F.lit("stale")})
 
@@ -493,6 +559,7 @@ class Exports:
             F.lit("GBP").alias("currencycode"), F.lit("web").alias("platform"), priority.alias("source"),
             status.alias("orderstatus"), F.lit("GB").alias("deliverycountry"),
             pick(ZIPS, F.col("o_custkey")).alias("deliverypostcode"), F.col("o_orderdate").alias("orderdate"),
+            *rest("sales_order_headers", "o_orderkey"),
         )
         return versions(rows, {"orderstatus": F.lit("stale"), "netvalue": F.lit(-1.0)})
 
@@ -503,6 +570,7 @@ class Exports:
             join_text("L", F.col("o_custkey")).alias("salesledgerid"), cents("o_totalprice", 0.8).alias("netvalue"),
             cents("o_totalprice", 0.2).alias("taxvalue"), F.col("o_totalprice").alias("grossvalue"),
             F.lit("GBP").alias("currencycode"), F.col("o_orderdate").alias("invoicedate"),
+            *rest("sales_invoice_headers", "o_orderkey"),
         )
         return versions(rows, {"grossvalue": F.lit(-1.0)})
 
@@ -519,6 +587,7 @@ class Exports:
             F.col("l_discount").alias("discountrate"), F.lit("GBP").alias("currencycode"),
             F.col("l_returnflag").alias("transactiontype"), F.lit("line text").alias("productdescription"),
             F.col("l_shipdate").alias("transactiondate"), F.when(F.col("l_tax") > 0, F.col("l_shipdate")).alias("orderdate"),
+            *rest("sales_transactions", "l_orderkey"),
         )
         return versions(rows, {"linevalue": F.lit(-1.0)})
 

@@ -348,7 +348,75 @@ view(
     "customer_id address_id city country postcode state address_type is_default postcode_area",
 )
 
-# CRM: filled columns only; the others are null and not compared here.
+# CRM: columns that follow from a key by their type, as "name=raw name".
+_REST = {
+    "addresses": {
+        "text": "outcode=outcode postcode_region=postcoderegion postcode_type=postcodetype address_line2=addressline2 address_line3=addressline3 address_line4=addressline4 address_line5=addressline5",
+        "number": "latitude=latitude longitude=longitude",
+        "time": "last_updated_at=lastupdatedtimestamp",
+    },
+    "companies": {
+        "text": "type_id=typeid alternate_reference=alternatereference",
+        "time": "first_order_at=firstorder lapsed_at=lapsed unlapsed_at=unlapsed last_updated_at=lastupdatedtimestamp",
+    },
+    "contacts": {
+        "text": "title=title job_title=jobtitle department=department phone_number=phonenumber mobile_phone=mobilephonenumber address_id=addressid main_address_id=mainaddressid delivery_address_id=deliveryaddressid division_id=divisionid",
+        "flag": "email_bounced=emailbounced",
+        "time": "created_at=created",
+    },
+    "leads": {
+        "text": "owner_id=ownerid salesperson_id=salespersonid responsible_user=responsibleuser pipeline_id=pipelineid status_id=statusid status_detail_id=statusdetailid status_flag=statusflag source_id=sourceid source_other=sourceother type_id=typeid size_id=sizeid objective_id=objectiveid address_id=addressid division_id=divisionid gut_o_meter=guttometer utm_medium=utmmedium utm_campaign=utmname utm_content=utmcontent",
+        "number": "worst_value=worstvalue likely_value=likelyvalue weighted_value=weightedvalue margin_value=marginvalue",
+        "time": "closed_at=closedate estimated_close_at=estimatedclose status_changed_at=statuschanged last_active_engagement_at=lastactiveengagement first_active_engagement_at=firstactiveengagement last_updated_at=lastupdatedtimestamp",
+    },
+    "product_items": {
+        "text": "barcode=barcode extended_description=extendeddescription web_description=webdescription web_product_reference=webproductreference catalogue_code=cataloguecode catalogue_reference=cataloguereference alternate_reference1=alternatereference1 alternate_reference2=alternatereference2 manufacturer_reference=manufacturerreference",
+        "number": "cost_price=costprice sale_price=saleprice next_price=nextprice decimal_cost_price=decimalcostprice decimal_selling_price=decimalsellingprice",
+        "flag": "is_sellable=sellable is_stocked=stocked",
+        "time": "created_at=created last_updated_at=lastupdatedtimestamp",
+    },
+    "sales_invoices": {
+        "text": "credit_note_number=creditnotenumber platform=platform status_flag=statusflag transaction_type_id=transactiontypeid",
+        "number": "base_net_value=basenetvalue base_tax_value=basetaxvalue base_gross_value=basegrossvalue",
+        "time": "due_at=duedate",
+    },
+    "sales_ledgers": {
+        "text": "postcode=postcode customer_type_id=customertypeid customer_code=customercode",
+        "flag": "is_cash_account=iscashaccount",
+        "time": "created_at=created last_invoice_at=lastinvoice last_receipt_at=lastreceipt",
+    },
+    "sales_orders": {
+        "text": "salesperson_id=salespersonid division_id=divisionid status_flag=statusflag customer_reference=customerreference alternate_reference=alternatereference delivery_name=deliveryname sales_order_group_code=salesordergroupcode",
+        "number": "base_net_value=basenetvalue base_tax_value=basetaxvalue base_gross_value=basegrossvalue",
+        "time": "shipped_at=shippeddate due_at=duedate",
+    },
+    "sales_transactions": {
+        "number": "price=price gross_value=grossvalue base_value=basevalue base_gross_value=basegrossvalue cost_price=costprice",
+        "text": "status_flag=statusflag warehouse_code=warehousecode department_code=departmentcode",
+        "time": "invoiced_at=invoicedate delivered_at=deliverydate",
+    },
+}
+
+
+def _rest(view_name: str, key: str) -> str:
+    form = {
+        "text": "'{raw}-' || ({key} % 97)",
+        "number": "{key} % 1000 + {i} + 0.25",
+        "flag": "({key} + {i}) % 3 = 1",
+        "time": EPOCH.format(s="1600000000 + 86400 * {i} + {key} % 5000000"),
+    }
+    return "".join(
+        f", {form[kind].format(raw=pair.partition('=')[2], key=key, i=i)} as {pair.partition('=')[0]}"
+        for kind, pairs in _REST[view_name].items()
+        for i, pair in enumerate(pairs.split())
+    )
+
+
+def _rest_columns(view_name: str) -> str:
+    tag = {"text": "", "number": "r:", "flag": "", "time": "t:"}
+    return "".join(f" {tag[kind]}{pair.partition('=')[0]}" for kind, pairs in _REST[view_name].items() for pair in pairs.split())
+
+
 view(
     "stg_prospect_crm__sales_ledgers",
     f"""
@@ -356,10 +424,10 @@ view(
       case when c_nationkey % 4 = 0 then null when c_mktsegment = 'AUTOMOBILE' then 'k' || c_custkey || '@salon.com' else {SHARED} end as email,
       c_name as customer_name, 'N' || c_nationkey as country, 'GB' as country_code, 'GBP' as currency_code,
       case c_mktsegment when 'HOUSEHOLD' then true when 'MACHINERY' then null else false end as is_b2c, c_acctbal as balance,
-      c_acctbal + 1000 as credit_limit, cast(null as timestamp) as last_invoice_at,
-      case when c_custkey % 5 <> 0 then {EPOCH.format(s='1700000000 + c_custkey')} end as last_updated_at from customer
+      c_acctbal + 1000 as credit_limit,
+      case when c_custkey % 5 <> 0 then {EPOCH.format(s='1700000000 + c_custkey')} end as last_updated_at{_rest('sales_ledgers', 'c_custkey')} from customer
     """,
-    "sales_ledger_id email customer_name country country_code currency_code is_b2c r:balance r:credit_limit t:last_invoice_at t:last_updated_at",
+    "sales_ledger_id email customer_name country country_code currency_code is_b2c r:balance r:credit_limit t:last_updated_at" + _rest_columns("sales_ledgers"),
 )
 view(
     "stg_prospect_crm__contacts",
@@ -369,42 +437,42 @@ view(
       if(c_custkey % 7 = 0, null, c_mktsegment) as first_name, if(c_custkey % 6 = 0, null, c_name) as last_name,
       trim(coalesce(if(c_custkey % 7 = 0, null, c_mktsegment), '') || ' ' || coalesce(if(c_custkey % 6 = 0, null, c_name), '')) as full_name,
       if(c_custkey % 2 = 0, 'kl' || c_custkey, null) as klaviyo_id, c_custkey % 3 = 0 as opt_in,
-      {EPOCH.format(s='1700000000 - c_custkey')} as last_updated_at from customer
+      {EPOCH.format(s='1700000000 - c_custkey')} as last_updated_at{_rest('contacts', 'c_custkey')} from customer
     """,
-    "contact_id email first_name last_name full_name klaviyo_id opt_in t:last_updated_at",
+    "contact_id email first_name last_name full_name klaviyo_id opt_in t:last_updated_at" + _rest_columns("contacts"),
 )
 view(
     "stg_prospect_crm__companies",
     f"""
     select s_suppkey as company_id, s_name as company_name, s_nationkey as account_manager_id, 'A' as status_flag,
-      'web' as source_channel, {EPOCH.format(s='1700000000 + s_suppkey')} as created_at from supplier
+      'web' as source_channel, {EPOCH.format(s='1700000000 + s_suppkey')} as created_at{_rest('companies', 's_suppkey')} from supplier
     """,
-    "n:company_id company_name n:account_manager_id status_flag source_channel t:created_at",
+    "n:company_id company_name n:account_manager_id status_flag source_channel t:created_at" + _rest_columns("companies"),
 )
 view(
     "stg_prospect_crm__leads",
-    """
+    f"""
     select event_id as lead_id, 'K' || user_id as contact_id, value as deal_value, value * 2 as best_value, event_type as utm_source,
-      regexp_extract(props, '[0-9]+') as utm_term, ts as created_at from events
+      regexp_extract(props, '[0-9]+') as utm_term, ts as created_at{_rest('leads', 'event_id')} from events
     """,
-    "n:lead_id contact_id r:deal_value r:best_value utm_source utm_term t:created_at",
+    "n:lead_id contact_id r:deal_value r:best_value utm_source utm_term t:created_at" + _rest_columns("leads"),
 )
 view(
     "stg_prospect_crm__product_items",
-    """
+    f"""
     select 'P' || p_partkey as product_item_id, 'SKU-' || p_partkey as sku, if(p_size = 1, null, p_name) as description,
       p_brand as manufacturer, p_type as category_id, p_size as product_family_id, 'stock' as product_type,
-      p_retailprice as selling_price, p_size = 50 as is_obsolete from part
+      p_retailprice as selling_price, p_size = 50 as is_obsolete{_rest('product_items', 'p_partkey')} from part
     """,
-    "product_item_id sku description manufacturer category_id n:product_family_id product_type r:selling_price is_obsolete",
+    "product_item_id sku description manufacturer category_id n:product_family_id product_type r:selling_price is_obsolete" + _rest_columns("product_items"),
 )
 view(
     "stg_prospect_crm__addresses",
     f"""
     select 'A' || c_custkey as address_id, 'N' || c_nationkey as country, {CZIP} as postcode, c_nationkey as region_number,
-      c_name as address_line1, {EPOCH.format(s='1700000000 + c_custkey')} as created_at from customer
+      c_name as address_line1, {EPOCH.format(s='1700000000 + c_custkey')} as created_at{_rest('addresses', 'c_custkey')} from customer
     """,
-    "address_id country postcode n:region_number address_line1 t:created_at",
+    "address_id country postcode n:region_number address_line1 t:created_at" + _rest_columns("addresses"),
 )
 view(
     "stg_prospect_crm__sales_orders",
@@ -413,10 +481,10 @@ view(
       round(o_totalprice * 0.2, 2) as tax_value, o_totalprice as gross_value, 'GBP' as currency_code, 'web' as platform,
       o_orderpriority as source_channel, o_orderstatus as order_status, 'GB' as delivery_country, {ZIP} as delivery_postcode,
       o_orderdate as ordered_at, {_month('o_orderdate')} as order_month
-    from orders where o_totalprice >= 3000 and not (o_orderstatus = 'O' and o_orderpriority in ('5-LOW', '4-NOT SPECIFIED'))
+   {_rest('sales_orders', 'o_orderkey')} from orders where o_totalprice >= 3000 and not (o_orderstatus = 'O' and o_orderpriority in ('5-LOW', '4-NOT SPECIFIED'))
     """,
     "order_number sales_ledger_id r:net_value r:tax_value r:gross_value currency_code platform source_channel order_status "
-    "delivery_country delivery_postcode t:ordered_at d:order_month",
+    "delivery_country delivery_postcode t:ordered_at d:order_month" + _rest_columns("sales_orders"),
 )
 view(
     "stg_prospect_crm__sales_invoices",
@@ -424,9 +492,9 @@ view(
     select o_orderkey as invoice_number, 'O' || o_orderkey as sales_order_header_id, 'L' || o_custkey as sales_ledger_id,
       round(o_totalprice * 0.8, 2) as net_value, round(o_totalprice * 0.2, 2) as tax_value, o_totalprice as gross_value,
       'GBP' as currency_code, o_orderdate as invoiced_at, {_month('o_orderdate')} as invoice_month
-    from orders where o_totalprice >= 3000
+   {_rest('sales_invoices', 'o_orderkey')} from orders where o_totalprice >= 3000
     """,
-    "n:invoice_number sales_order_header_id sales_ledger_id r:net_value r:tax_value r:gross_value currency_code t:invoiced_at d:invoice_month",
+    "n:invoice_number sales_order_header_id sales_ledger_id r:net_value r:tax_value r:gross_value currency_code t:invoiced_at d:invoice_month" + _rest_columns("sales_invoices"),
 )
 view(
     "stg_prospect_crm__sales_transactions",
@@ -437,11 +505,11 @@ view(
       l_quantity as qty_delivered, l_extendedprice as line_value, round(l_extendedprice * 0.8, 2) as cost_value,
       round(l_extendedprice * 0.2, 2) as margin_value, l_discount as margin_percent, l_discount as discount_rate,
       'GBP' as currency_code, l_returnflag as transaction_type, 'line text' as product_description, l_shipdate as transacted_at,
-      {_month('l_shipdate')} as transaction_month, if(l_tax > 0, l_shipdate, null) as ordered_at from lineitem
+      {_month('l_shipdate')} as transaction_month, if(l_tax > 0, l_shipdate, null) as ordered_at{_rest('sales_transactions', 'l_orderkey')} from lineitem
     """,
     "transaction_id sales_ledger_id order_number n:invoice_number product_item_id n:line_number r:qty_ordered r:qty_invoiced "
     "r:qty_delivered r:line_value r:cost_value r:margin_value r:margin_percent r:discount_rate currency_code transaction_type "
-    "product_description t:transacted_at d:transaction_month t:ordered_at",
+    "product_description t:transacted_at d:transaction_month t:ordered_at" + _rest_columns("sales_transactions"),
 )
 
 # facts and dimensions ------------------------------------------------------------
@@ -558,7 +626,8 @@ view(
     "transaction_id sales_ledger_id customer_name country r:credit_limit order_number t:ordered_at d:order_month platform source_channel "
     "order_status delivery_country delivery_postcode n:invoice_number product_item_id sku product_description manufacturer category_id "
     "n:product_family_id product_type r:qty_ordered r:qty_invoiced r:qty_delivered r:line_value r:cost_value r:margin_value "
-    "r:margin_percent r:discount_rate currency_code transaction_type t:transacted_at d:transaction_month",
+    "r:margin_percent r:discount_rate currency_code transaction_type t:transacted_at d:transaction_month r:gross_value r:cost_price "
+    "warehouse_code t:invoiced_at t:delivered_at",
 )
 view(
     "fct_product_sales",

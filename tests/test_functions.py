@@ -126,14 +126,16 @@ def test_payload_forms_agree(spark, form):
     get = lambda *path, to: payload.field(df, ("doc", *path), to)
     out = df.select(
         get("a", "$b", to="bigint"), get("a", "C d", to="string"), get("a", "n", to="double"),
-        get("a", "bad", to="double"), get("a", "gone", to="string"), payload.field(df, "nowhere", "bigint"),
+        get("a", "bad", to="double"), get("a", "gone", to="string"), payload.field(df, "nowhere", "bigint", optional=True),
     )
+    with pytest.raises(KeyError):
+        payload.field(df, "nowhere", "bigint")
     assert rows(out) == [(5, "x", 1.5, None, None, None), (None,) * 6]
 
 
 def test_whole_numbers_with_a_point(spark):
-    df = spark.createDataFrame([("12",), ("12.0",), ("1.2e1",), ("9007199254740993",), ("x",), (None,)], "q string")
-    assert [r[0] for r in df.select(payload.field(df, "q", "bigint")).collect()] == [12, 12, 12, 9007199254740993, None, None]
+    df = spark.createDataFrame([("12",), ("12.0",), ("1.2e1",), ("9007199254740993",), ("9007199254740993.0",), ("-12.5",), ("x",), (None,)], "q string")
+    assert [r[0] for r in df.select(payload.field(df, "q", "bigint")).collect()] == [12, 12, 12, 9007199254740993, 9007199254740993, -13, None, None]
 
 
 def test_clean_rows(spark):

@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from merchantry.plans import facts_sales as fs, staging_crm as crm, staging_shop as shop, staging_stock as stock
@@ -213,13 +214,27 @@ def test_stock_sales(spark):
     ]
 
 
+def whole(table, raw):
+    """An export with all of its columns: those not given are there without a value."""
+    missing = [c for c in dict.fromkeys(crm.renames(table).values()) if c not in raw.columns]
+    kind = {True: "timestamp", False: "string"}
+    return raw.withColumns({c: F.lit(None).cast(kind["date" in c or c == "created"]) for c in missing})
+
+
+def test_crm_exports_must_have_their_columns(spark):
+    raw = spark.createDataFrame([("P1", "Serum")], "productitemid string, description string")
+    with pytest.raises(KeyError, match="barcode"):
+        crm.product_items(raw)
+    assert crm.product_items(whole("product_items", raw)).columns == list(crm.renames("product_items"))
+
+
 def test_crm_staging_drops_null_and_demo_ledgers(spark):
     at = datetime(2024, 1, 1)
     raw = spark.createDataFrame(
         [("1", "L1", at, at), ("2", "CRMPRODTOUR", at, at), ("3", None, at, at), (None, "L1", at, at), ("1", "OLD", at, None)],
         "ordernumber string, salesledgerid string, orderdate timestamp, _airbyte_extracted_at timestamp",
     )
-    got = crm.sales_orders(raw, "CRMPRODTOUR")
+    got = crm.sales_orders(whole("sales_order_headers", raw), "CRMPRODTOUR")
     assert rows(got, "order_number", "sales_ledger_id", "order_month") == [("1", "L1", date(2024, 1, 1))]
     assert set(crm.renames("sales_order_headers")) | {"order_month"} == set(got.columns)
 
@@ -256,18 +271,18 @@ def test_customer_unified(spark):
 
 def test_b2b_sales_keep_business_ledgers_only(spark):
     at = datetime(2024, 5, 5)
-    typed = lambda table, data, cols: crm._named(table, spark.createDataFrame(data, cols))
+    typed = lambda table, data, cols: crm._named(table, whole(table, spark.createDataFrame(data, cols)))
     ledgers = typed("sales_ledgers", [("L1", "A", False), ("L2", "B", True), ("L3", "C", None)], "salesledgerid string, name string, isb2c boolean")
     lines = crm.sales_transactions(
-        spark.createDataFrame(
+        whole("sales_transactions", spark.createDataFrame(
             [("T1", "L1", "O1", "P1", "text", at, at), ("T2", "L1", "O9", "P9", "text", at, at), ("T3", "L2", "O1", "P1", "t", at, at), ("T4", "L3", "O1", "P1", "t", at, at)],
             "id string, ledger string, ordernumber string, productitemid string, productdescription string, transactiondate timestamp, orderdate timestamp",
-        )
+        ))
     )
     orders = crm.sales_orders(
-        spark.createDataFrame([("O1", "L1", datetime(2024, 4, 4))], "ordernumber string, salesledgerid string, orderdate timestamp"), "DEMO"
+        whole("sales_order_headers", spark.createDataFrame([("O1", "L1", datetime(2024, 4, 4))], "ordernumber string, salesledgerid string, orderdate timestamp")), "DEMO"
     )
-    products = crm.product_items(spark.createDataFrame([("P1", "Serum")], "productitemid string, description string"))
+    products = crm.product_items(whole("product_items", spark.createDataFrame([("P1", "Serum")], "productitemid string, description string")))
     got = fs.fct_b2b_sales(ledgers, lines, orders, products)
     assert rows(got, "transaction_id", "order_month", "product_description") == [
         ("T1", date(2024, 4, 1), "Serum"), ("T2", date(2024, 5, 1), "text"),

@@ -18,6 +18,7 @@ SAMPLE = [
     "contamination_audit", "quality_report", "pivot_month_status", "scalar_text", "scalar_dates_numbers",
     "metrics_fct_orders", "metrics_fct_ga_sessions", "metrics_dim_customer_unified", "chart_customer_mix_aov_split", "chart_gross_sales",
     "chart_return_order_rate_cin7_by_channel", "chart_cross_brand_month", "checks_facts_marketing", "stream_last_touch",
+    "stream_first_per_order", "stream_daily_counts", "incremental_append", "contamination_purge_store", "alias_scan", "registered_views",
     "report_combined_orders", "report_customer_mix_aov_split", "report_paid_search_shopping", "report_primary_attribution_sankey",
 ]
 
@@ -90,3 +91,10 @@ def test_tables_can_be_written_again(spark, small, tmp_path):
     assert spark.sql("select * from fct_klaviyo_subscriber_growth").count() == lazy
     root = f"{tmp_path}/fct_klaviyo_subscriber_growth"
     assert read_current(spark, root).count() == lazy and "version" not in read_current(spark, root).columns
+
+
+def test_models_compare_all_of_their_columns(spark, small):
+    house = workloads.warehouse(spark, small)
+    for name in MODELS:
+        compared = [c.rpartition(":")[2] for c in workloads.oracle.COLUMNS[name].split()]
+        assert sorted(compared) == sorted(house.table(name).columns), name
