@@ -134,6 +134,23 @@ def _calculate(grouped: DataFrame, calc: Calc) -> DataFrame:
     return grouped.withColumn(calc.name, value)
 
 
+DISTINCT = re.compile(r"count\(distinct (\w+)\)")
+
+
+def distinct_counts(rows: DataFrame, dims: Sequence[Column], names: Sequence[str], counted: dict[str, str]) -> DataFrame:
+    """Several distinct counts per group, by one shuffle.
+
+    A row gives one entry (metric, value) for each count that it has a value for, and one
+    without, which keeps groups that have none.  Equal entries fold where they are, once
+    more after the shuffle, and what is left is counted.
+    """
+    values = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("_metric"), F.col(c).cast("string").alias("_value"))) for i, c in enumerate(counted.values())]
+    group = F.struct(F.lit(-1).alias("_metric"), F.lit(None).cast("string").alias("_value"))
+    entries = F.inline(F.filter(F.array(group, *values), lambda x: x.isNotNull()))
+    distinct = rows.select(*dims, entries).distinct()
+    return distinct.groupBy(*names).agg(*[F.count_if(F.col("_metric") == i).alias(m) for i, m in enumerate(counted)])
+
+
 def metric_query(
     table: DataFrame, explore: Explore, query: MetricQuery, as_of: date | None = None
 ) -> DataFrame:
@@ -150,8 +167,17 @@ def metric_query(
         rows = rows.filter(condition(explore, f, today))
     dims = [explore.dimension(d).alias(d) for d in query.dims]
     measures = [explore.metric(m).alias(m) for m in query.metrics]
+    counted = {m: found[1] for m in query.metrics if (found := DISTINCT.fullmatch(explore.metrics[m]))}
     if not measures:
         grouped = rows.select(*dims).distinct()
+    elif len(counted) > 1:
+        plain = [explore.metric(m).alias(m) for m in query.metrics if m not in counted]
+        sides = {"distinct": distinct_counts(rows, dims, query.dims, counted)}
+        if plain:
+            sides["plain"] = rows.groupBy(*dims).agg(*plain)
+        zero = () if dims else tuple(counted)
+        grouped = combine.spine_join(sides, query.dims, zero).select(*query.dims, *query.metrics)
+        grouped = grouped.withColumns({m: F.coalesce(m, F.lit(0)) for m in counted})
     elif dims:
         grouped = rows.groupBy(*dims).agg(*measures)
     else:

@@ -141,3 +141,17 @@ def test_all_checks_of_a_table_read_it_once(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Expand") == 0
     assert checks.run_checks(table, "t", checks.Checks()).count() == 0
+
+
+def test_several_distinct_counts_without_row_expansion(spark):
+    data = [("x", 1, "p", 1.0), ("x", 1, "q", 2.0), ("x", None, "q", 3.0), (None, 2, None, 4.0), ("y", None, None, None)]
+    df = spark.createDataFrame(data, "d string, a int, b string, v double")
+    explore = Explore("t", {"as": "count(distinct a)", "bs": "count(distinct b)", "v": "sum(v)", "m": "avg(v)"}, {"d": lambda: F.col("d")})
+    got = metric_query(df, explore, MetricQuery("t", ("d",), ("as", "bs", "v", "m"), sort=("d", False)))
+    want = df.groupBy("d").agg(F.count_distinct("a").alias("as"), F.count_distinct("b").alias("bs"), F.sum("v").alias("v"), F.avg("v").alias("m"))
+    assert got.columns == want.columns and rows(got) == rows(want)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(metric_query(df, explore, MetricQuery("t", (), ("as", "bs", "v")))) == [(2, 2, 10.0)]
+    assert rows(metric_query(df, explore, MetricQuery("t", (), ("bs", "as")))) == [(2, 2)]
+    assert rows(metric_query(df.limit(0), explore, MetricQuery("t", (), ("as", "bs", "v")))) == [(0, 0, None)]
+    assert rows(metric_query(df.limit(0), explore, MetricQuery("t", ("d",), ("as", "bs")))) == []
