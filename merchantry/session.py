@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 # UTC keeps date arithmetic independent of the machine; the adaptive settings
@@ -35,11 +39,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_CLEANED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder all executors can reach, under ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage.  Where it is unset, the folder is
-    under the warehouse folder, which all executors share as well.
+    On a cluster the setting must name shared storage.  On one machine, where it may be
+    unset, the folder is under the warehouse folder.  All folders of a session are in
+    one, which is deleted when the program ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    run = f"{root.rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    if run not in _CLEANED:
+        _CLEANED.add(run)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), run)
+    return f"{run}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def _delete(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -128,6 +131,29 @@ def test_shared_folder_follows_the_session(spark):
     assert first.startswith(root) and first != second
 
 
+def test_scratch_folders_go_when_the_program_ends(tmp_path):
+    program = f"""
+from merchantry.session import build_session, shared_folder
+spark = build_session("t", "local[1]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": "{tmp_path}/shared"}})
+spark.range(3).write.parquet(shared_folder(spark, "x"))
+import os
+print("there", os.listdir("{tmp_path}/shared"))
+spark.stop()
+"""
+    ran = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
+    assert "'run-" in ran.stdout, ran.stderr[-2000:]
+    assert not [f for f in os.listdir(tmp_path / "shared") if f.startswith("run-")]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Cluster, "x")
+
+
 def finish(writer):
     query = writer.start()
     query.awaitTermination()
