@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from merchantry.operators import scan
+
 
 def _cols(items: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
@@ -34,40 +36,13 @@ def row_digest(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in usable])
 
 
-def sequence_per_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    ties: Sequence[str],
-    name: str,
-    slice_of: Column | None = None,
-) -> DataFrame:
-    """``row_number`` over (keys, ordered by ts then ties) with keys cut by day.
-
-    A plain window sorts all rows of one key in one task.  Here each (key, day)
-    slice is numbered on its own, and a header row per slice, made from
-    map-side-combined counts, carries how many rows of the key lie in earlier
-    slices.  ``slice_of`` may give any other cut that is monotone in ``ts``.
+def sequence_per_key(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], name: str) -> DataFrame:
+    """``row_number`` over (keys, ordered by ts then ties), nulls last, by a segmented scan.
+
+    A plain window sorts all rows of one key in one task; here a key's rows, and those
+    of one instant, are dealt to as many ranges as they fill.
     """
-    cut = slice_of if slice_of is not None else F.col(ts).cast("date")
-    sliced = df.withColumn("_slice", cut)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = W.partitionBy(*keys).orderBy(F.col("_slice").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    headers = counts.select(
-        *keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-    ).withColumn("_header", F.lit(0))
-    body = sliced.withColumn("_header", F.lit(1))
-    both = body.unionByName(headers, allowMissingColumns=True)
-    order = [F.col(c).asc_nulls_last() for c in (ts, *ties)]
-    window = W.partitionBy(*keys, "_slice").orderBy("_header", *order)
-    numbered = both.withColumns(
-        {
-            "_local": F.row_number().over(window) - 1,
-            "_offset": F.first("_before").over(window.rowsBetween(W.unboundedPreceding, W.currentRow)),
-        }
-    )
-    out = numbered.filter(F.col("_header") == 1).withColumn(name, (F.col("_local") + F.col("_offset")).cast("long"))
-    return out.select(*df.columns, name)
+    return scan.sequence(df, keys, [F.col(c).asc_nulls_last() for c in (ts, *ties)], name)
 
 
 def first_rows(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[str]) -> DataFrame:
@@ -76,9 +51,9 @@ def first_rows(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[
     return df.groupBy(*entity).agg(first).select(*[F.col(f"_first.{k}").alias(k) for k in row_key])
 
 
-def once_per_key(mark: Column, row_key: Sequence[str], ts: str) -> Column:
-    """``mark`` on the earliest of the rows that repeat a row key, 0 on the others."""
-    nth = F.row_number().over(W.partitionBy(*row_key).orderBy(F.col(ts).asc_nulls_last()))
+def once_per_key(mark: Column, row_key: Sequence[str], ts: str, digest: Column) -> Column:
+    """``mark`` on the earliest of the rows that repeat a row key, of equal times the one with the least digest; 0 on the others."""
+    nth = F.row_number().over(W.partitionBy(*row_key).orderBy(F.col(ts).asc_nulls_last(), digest))
     return F.when(nth == 1, mark).otherwise(F.lit(0))
 
 
@@ -91,15 +66,5 @@ def mark_first(df: DataFrame, entity: Sequence[str], ts: str, row_key: Sequence[
     """
     marks = first_rows(df, entity, ts, row_key).withColumn("_mark", F.lit(1))
     joined = df.join(marks, list(row_key), "left")
-    return joined.select(*[df[c] for c in df.columns], once_per_key(F.coalesce("_mark", F.lit(0)), row_key, ts).alias(name))
-
-
-__all__ = [
-    "first_rows",
-    "latest_per_key",
-    "mark_first",
-    "once_per_key",
-    "row_digest",
-    "sequence_per_key",
-    "top_n_per_group",
-]
+    return joined.select(*[df[c] for c in df.columns], once_per_key(F.coalesce("_mark", F.lit(0)), row_key, ts, row_digest(df)).alias(name))
+

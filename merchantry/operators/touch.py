@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-DAY = 86_400
-
-
-def _slot(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+from merchantry.operators import scan
 
 
 def last_touch(
@@ -23,70 +19,33 @@ def last_touch(
     touch_id: str,
     carry: Sequence[str],
     lookback_days: int = 5,
-    slot_seconds: int = DAY,
 ) -> DataFrame:
     """Orders with the carried columns of their last touch; untouched ones drop out.
 
     A touch counts from exactly ``lookback_days`` before the order up to the
-    order's own instant; of two touches at one instant the greater id wins.
-
-    No order/touch pairs are built.  Time is cut into slots and rows meet by
-    (key, slot), so a profile with very many events spreads over its slots:
-
-    1. Inside a slot, a running maximum over touches and orders in time order
-       finds the touch of every order that has one in its own slot.
-    2. Of a slot's touches only the newest can matter to later slots.  It goes
-       on alone, and each order still without a touch asks the slots before it.
-    3. The newest answer per order wins.
+    order's own instant; of two touches at one instant the greater id wins.  Of rows
+    that repeat an order id, that with the later touch stays.
 
-    Touches are read once; what passes step 1 is one row per (key, slot).
+    No order/touch pairs are built, and no key or day is a unit of work: touches and
+    orders are laid in one line by key and time, and a segmented scan hands the last
+    touch along, so one profile's rows spread over many tasks even if they are of one
+    instant.  Touches are read once.
     """
     for name in orders.columns:
         if name.startswith("_"):
             raise ValueError(f"column name {name} is reserved")
-    known = [F.col(k).isNotNull() for k in keys]
-    for c in known:
-        orders, touches = orders.filter(c), touches.filter(c)
-    touch = F.struct(
-        F.col(touch_ts).alias("_ts"), F.col(touch_id).alias("_id"), *[F.col(c).alias(f"_c_{c}") for c in carry]
-    )
+    for k in keys:
+        orders, touches = orders.filter(F.col(k).isNotNull()), touches.filter(F.col(k).isNotNull())
+    touch = F.struct(F.col(touch_ts).alias("_ts"), F.col(touch_id).alias("_id"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     whole = F.struct(*[F.col(f"`{c}`") for c in orders.columns])
-    seen = touches.filter(F.col(touch_ts).isNotNull()).select(
-        *keys, _slot(touch_ts, slot_seconds).alias("_slot"), F.col(touch_ts).alias("_at"), touch.alias("_touch")
-    )
-    placed = orders.filter(F.col(order_ts).isNotNull()).select(
-        *keys, _slot(order_ts, slot_seconds).alias("_slot"), F.col(order_ts).alias("_at"), whole.alias("_order")
-    )
-    stream = seen.withColumn("_is_order", F.lit(0)).unionByName(
-        placed.withColumn("_is_order", F.lit(1)), allowMissingColumns=True
-    )
-    in_time = W.partitionBy(*keys, "_slot").orderBy("_at", "_is_order")
-    ranked = stream.withColumns(
-        {
-            "_seen": F.max("_touch").over(in_time.rowsBetween(W.unboundedPreceding, 0)),
-            "_newest": F.max("_touch").over(in_time.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
-        }
-    )
+    seen = touches.filter(F.col(touch_ts).isNotNull()).select(*keys, F.col(touch_ts).alias("_at"), F.lit(0).alias("_kind"), touch.alias("_touch"))
+    placed = orders.filter(F.col(order_ts).isNotNull()).select(*keys, F.col(order_ts).alias("_at"), F.lit(1).alias("_kind"), whole.alias("_order"))
+    line = seen.unionByName(placed, allowMissingColumns=True)
+    order = [F.col("_at"), F.col("_kind"), F.col("_touch").asc_nulls_first()]
     floor_ts = F.col(f"_order.{order_ts}") - F.make_dt_interval(F.lit(lookback_days))
-    is_order, hit = F.col("_is_order") == 1, F.col("_seen._ts") >= floor_ts
-    back = -(-lookback_days * DAY // slot_seconds)
-    none = F.array().cast("array<bigint>")
-    slots = (
-        F.when(is_order & hit, F.array("_slot"))
-        .when(is_order, F.sequence(F.col("_slot") - back, F.col("_slot") - 1))
-        .when(F.col("_touch") == F.col("_newest"), F.array("_slot"))
-        .otherwise(none)
-    )
-    answers = F.when(is_order & hit, F.col("_seen")).when(~is_order, F.col("_touch"))
-    asked = ranked.select(*keys, "_order", answers.alias("_touch"), F.explode(slots).alias("_slot"))
+    found = scan.last_before(line, keys, order, "_touch", "_seen").filter((F.col("_kind") == 1) & (F.col("_seen._ts") >= floor_ts))
 
-    offered = F.max(F.when(F.col("_order").isNull(), F.col("_touch"))).over(W.partitionBy(*keys, "_slot"))
-    found = (
-        asked.withColumn("_touch", F.coalesce("_touch", offered))
-        .filter(F.col("_order").isNotNull() & (F.col("_touch._ts") >= floor_ts))
-        .withColumns({f"_o{i}": F.col(f"_order.{c}") for i, c in enumerate(order_id)})
-    )
-    ids = [f"_o{i}" for i in range(len(order_id))]
-    best = found.groupBy(*ids).agg(F.max(F.struct("_touch", "_order")).alias("_best"))
-    taken = [F.col(f"_best._touch._c_{c}").alias(c) for c in carry]
-    return best.select("_best._order.*", F.col("_best._touch._ts").alias("touch_at"), *taken)
+    ids = [F.col(f"_order.{c}").alias(f"_o{i}") for i, c in enumerate(order_id)]
+    best = found.groupBy(*ids).agg(F.max(F.struct("_seen", "_order")).alias("_best"))
+    taken = [F.col(f"_best._seen._c_{c}").alias(c) for c in carry]
+    return best.select("_best._order.*", F.col("_best._seen._ts").alias("touch_at"), *taken)

@@ -29,7 +29,7 @@ def fct_orders(orders: DataFrame, refunds: DataFrame, per_store_first: bool = Fa
     joined = orders.join(side, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in amounts})
     return joined.withColumns(
         {
-            "is_first_order": ranking.once_per_key(F.coalesce("is_first_order", F.lit(0)), key, "created_at"),
+            "is_first_order": ranking.once_per_key(F.coalesce("is_first_order", F.lit(0)), key, "created_at", ranking.row_digest(orders)),
             "gross_sales": F.col("subtotal_price") + F.col("total_discounts"),
             "net_sales": F.col("subtotal_price") - F.col("refund_subtotal"),
             "total_sales_after_returns": F.col("total_price") - F.col("refund_amount"),

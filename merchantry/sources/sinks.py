@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from merchantry.session import shared_folder
+
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     """Write a parquet table.
@@ -19,6 +21,13 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mo
     writer.parquet(path)
 
 
+def scratch(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written in the shared folder and read from there: computed once, and safe from lost executors."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def database_name(layer: str | None, default: str) -> str:
     """Database of a layer: its name in upper case, or the default."""
     return layer.strip().upper() if layer else default

@@ -4,13 +4,21 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window as W, functions as F
 
-from merchantry.operators import combine, ranking, touch
+from merchantry.operators import combine, ranking, scan, touch
 from tests.conftest import rows
 
 T0 = datetime(2024, 1, 10, 12)
 COMMON = dict(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges of a few rows stay apart, as ranges of many do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_latest_ignores_undated_loads(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, 5, "a"), (1, 7, "b"), (2, None, "only")], "k int, at int, v string")
     assert rows(ranking.latest_per_key(df, ["k"], "at"), "k", "v") == [(1, "b"), (2, "only")]
@@ -27,6 +35,7 @@ def test_top_n(spark):
     assert rows(ranking.top_n_per_group(df, ["g"], [F.col("v").desc()], 2)) == [("a", 3), ("a", 4), ("b", 9)]
 
 
+@pytest.mark.usefixtures("small_ranges")
 @given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.integers(0, 4)), min_size=1, max_size=40))
 @settings(**COMMON)
 def test_sequence_equals_window(spark, items):
@@ -37,11 +46,32 @@ def test_sequence_equals_window(spark, items):
     assert rows(got, "id", "seq") == rows(want, "id", "seq")
 
 
-def test_sequence_cuts_a_hot_key_into_days(spark):
-    df = spark.range(3000).select(F.lit(1).alias("k"), "id", (F.lit(T0) + F.make_dt_interval(hours=F.col("id"))).alias("at"))
-    got = ranking.sequence_per_key(df, ["k"], "at", ["id"], "seq")
-    assert got.filter(F.col("seq") != F.col("id") + 1).count() == 0
-    assert "k" in got.columns and got.count() == 3000
+def hot_rows(spark, one_instant):
+    """A third of all rows has one key, and its rows one day, or one instant."""
+    at = F.lit(T0) + (F.make_dt_interval(secs=F.lit(0)) if one_instant else F.make_dt_interval(secs=F.col("id")))
+    return spark.range(6000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("k"), "id", at.alias("at"))
+
+
+@pytest.mark.parametrize("one_instant", [False, True])
+def test_scan_spreads_a_hot_key_and_instant(spark, small_ranges, one_instant):
+    df = hot_rows(spark, one_instant)
+    want = df.withColumn("seq", F.row_number().over(W.partitionBy("k").orderBy("at", "id")))
+    assert rows(ranking.sequence_per_key(df, ["k"], "at", ["id"], "seq"), "id", "seq") == rows(want, "id", "seq")
+    laid = scan.sorted_ranges(df, ["k"], [F.col("at"), F.col("id")])
+    sizes = [r.n for r in laid.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 6000 / 4 * 1.5
+    # rows that tie in everything are spread too
+    same = spark.range(4000).select(F.lit(1).alias("k"), F.lit(T0).alias("at"))
+    sizes = [r.n for r in scan.sorted_ranges(same, ["k"], [F.col("at")]).groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1500
+    assert ranking.sequence_per_key(same, ["k"], "at", [], "seq").select("seq").distinct().count() == 4000
+
+
+def test_scan_hands_values_over_ranges_of_one_key(spark, small_ranges):
+    df = hot_rows(spark, False).withColumn("v", F.when(F.col("id") % 700 == 0, F.col("id")))
+    want = df.withColumn("l", F.last("v", ignorenulls=True).over(W.partitionBy("k").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)))
+    assert rows(scan.last_before(df, ["k"], [F.col("at"), F.col("id")], "v", "l"), "id", "l") == rows(want, "id", "l")
+    assert scan.sequence(df.limit(0), ["k"], [F.col("at")], "s").count() == scan.last_before(df.limit(0), ["k"], [F.col("at")], "v", "l").count() == 0
 
 
 def test_first_mark_per_entity_and_guests(spark):
@@ -86,24 +116,22 @@ def test_touch_window_edges(spark):
 @given(
     st.lists(st.tuples(st.integers(1, 2), st.integers(0, 200)), min_size=1, max_size=12),
     st.lists(st.tuples(st.integers(1, 2), st.integers(0, 200)), min_size=1, max_size=25),
-    st.sampled_from([6 * 3600, 86_400, 7 * 86_400]),
 )
 @settings(**COMMON)
-def test_touch_equals_brute_force(spark, orders, touches, slot):
+def test_touch_equals_brute_force(spark, orders, touches):
     o = [(i, w, T0 + timedelta(hours=h)) for i, (w, h) in enumerate(orders)]
     t = [(i, w, T0 + timedelta(hours=h), f"c{i}") for i, (w, h) in enumerate(touches)]
-    assert run_touch(spark, o, t, slot_seconds=slot) == brute_touch(o, t, 5)
+    assert run_touch(spark, o, t) == brute_touch(o, t, 5)
 
 
-def test_touch_builds_no_pairs(spark):
+def test_touch_builds_no_pairs(spark, small_ranges):
     # one profile holds everything: 600 orders and 600 touches in one day
     o = [(i, 1, T0 + timedelta(seconds=2 * i + 1)) for i in range(600)]
     t = [(i, 1, T0 + timedelta(seconds=2 * i), "c") for i in range(600)]
     assert run_touch(spark, o, t) == [(i, i, "c") for i in range(600)]
-    df = spark.createDataFrame(o, "oid int, who int, at timestamp")
-    tf = spark.createDataFrame(t, "tid int, who int, t_at timestamp, camp string")
-    plan = touch.last_touch(df, tf, ["who"], ["oid"], "at", "t_at", "tid", ["camp"])._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan
+    # all at one instant: the greatest id wins for every order
+    o, t = [(i, 1, T0) for i in range(600)], [(i, 1, T0, "c") for i in range(600)]
+    assert run_touch(spark, o, t) == [(i, 599, "c") for i in range(600)]
 
 
 @given(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 9)), min_size=1, max_size=40), st.sampled_from([2, 512]))
@@ -160,7 +188,7 @@ def test_tenant_filter_removes_branches(spark, small):
     assert "Union" not in plan
 
 
-@pytest.mark.parametrize("name", ["_slot", "_order"])
+@pytest.mark.parametrize("name", ["_touch", "_order"])
 def test_reserved_names_are_refused(spark, name):
     df = spark.createDataFrame([(1, T0)], f"{name} int, at timestamp")
     with pytest.raises(ValueError):
