@@ -1,10 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 Text blocks are grouped by the tags from the root to the leaf.  For each path the
-text length and the punctuation per block are summed up; both ratios are
-smoothed over the page, fused into one score, and paths above a threshold hold
-the content.  Menus and sentences of an article thus part even where a single
-block would not tell.
+text length, the punctuation and the linked text per block are summed up; the
+ratios are smoothed over the page, fused into one score, and paths above a threshold
+hold the content.  Menus and sentences of an article thus part even where a single
+block would not tell.  What a class or id says of a path is a weight of its score.
 """
 
 from __future__ import annotations
@@ -41,20 +41,21 @@ SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class PathConfig:
-    """``spread``: standard deviation of the smoothing, in blocks; ``least``: of the page's best score; ``article_weight``: for paths inside article or main."""
+    """``spread``: standard deviation of the smoothing, in blocks; ``least``: of the page's best score; weights of paths inside article or main, and of those named like something else."""
 
     spread: float = 1.0
-    least: float = 0.1
+    least: float = 0.4
     article_weight: float = 4.0
-    most_linked: float = 0.5
+    named_weight: float = 0.1
 
 
 @dataclass
 class Block:
     text: str
     path: tuple[str, ...]
-    outside: bool
-    linked: float
+    outside: bool  # in an element that never holds the article
+    named: bool  # under a class, id or role that names something else
+    linked: int  # characters in links
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -82,37 +83,36 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def _outside(name: str, attributes: str) -> bool:
-    if name in OUTSIDE:
-        return True
-    if "hidden" in attributes and re.search(r"(^|\s)hidden(\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", attributes):
-        return True
-    for found in NAMES.finditer(attributes):
-        if not NOT_CONTENT.isdisjoint(w.lower() for w in WORD.findall(found[1] or found[2] or found[3] or "")):
-            return name not in ("body", "html", "article", "main")
-    return False
+    """Elements that never hold the article, and what is hidden."""
+    return name in OUTSIDE or "hidden" in attributes and bool(re.search(r"(^|\s)hidden(\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", attributes))
+
+
+def _named(name: str, attributes: str) -> bool:
+    """Whether a class, id or role names something else than the article."""
+    if name in ("body", "html", "article", "main"):
+        return False
+    return any(not NOT_CONTENT.isdisjoint(w.lower() for w in WORD.findall(found[1] or found[2] or found[3] or "")) for found in NAMES.finditer(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with white space turned into single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    links, in_link, n_chars, at = 0, 0, 0, 0
+    links, in_link, at = 0, 0, 0
 
     def end_block() -> None:
-        nonlocal parts, links, n_chars
+        nonlocal parts, links
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), any(o for _, o in stack), links / max(1, n_chars)))
-        parts, links, n_chars = [], 0, 0
+            out.append(Block(text, tuple(t for t, _, _ in stack), any(o for _, o, _ in stack), any(n for _, _, n in stack), links))
+        parts, links = [], 0
 
     def say(raw: str) -> None:
-        nonlocal links, n_chars
+        nonlocal links
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        n = len(text.strip())
-        n_chars += n
-        links += n if in_link else 0
+        links += len(text.strip()) if in_link else 0
 
     while at < len(page):
         lt = page.find("<", at)
@@ -179,24 +179,19 @@ def blocks(page: str) -> list[Block]:
             continue
         mark = NAMES.search(attributes)
         label = (mark[1] or mark[2] or mark[3] or "").strip() if mark else ""
-        stack.append((f"{name}.{label}" if label else name, _outside(name, attributes)))
+        stack.append((f"{name}.{label}" if label else name, _outside(name, attributes), _named(name, attributes)))
     end_block()
     return out
 
 
-def select(found: list[Block], conf: PathConfig = PathConfig()) -> list[Block]:
-    """The blocks whose tag path scores as content, and headings beside them."""
-    inside = [b for b in found if not b.outside and (b.linked <= conf.most_linked)]
-    if not inside:
-        return []
+def scores(inside: list[Block], conf: PathConfig) -> dict[tuple[str, ...], float]:
+    """Per tag path the fused score: length and punctuation per block, smoothed along the page, less what is linked, and weighed."""
     paths: dict[tuple[str, ...], list[float]] = {}
     for b in inside:
-        sums = paths.setdefault(b.path, [0, 0, 0])
-        sums[0] += len(b.text)
-        sums[1] += len(PUNCTUATION.findall(b.text))
-        sums[2] += 1
-    length = np.array([paths[b.path][0] / paths[b.path][2] for b in inside])
-    points = np.array([(paths[b.path][1] + 0.1) / paths[b.path][2] for b in inside])
+        sums = paths.setdefault(b.path, [0, 0, 0, 0])
+        for i, x in enumerate((len(b.text), len(PUNCTUATION.findall(b.text)), 1, b.linked)):
+            sums[i] += x
+    each = np.array([paths[b.path] for b in inside], float)
     reach = int(3 * conf.spread)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / conf.spread) ** 2)
 
@@ -205,11 +200,24 @@ def select(found: list[Block], conf: PathConfig = PathConfig()) -> list[Block]:
         return np.convolve(x, kernel, "full")[reach : reach + len(x)] / weight
 
     article = np.array([any(t.split(".")[0] in ("article", "main") for t in b.path) for b in inside])
-    fused = smooth(length) * smooth(points) * np.where(article, conf.article_weight, 1.0)
-    scores: dict[tuple[str, ...], float] = {}
+    named = np.array([b.named for b in inside])
+    weight = np.where(article, conf.article_weight, 1.0) * np.where(named, conf.named_weight, 1.0)
+    unlinked = np.maximum(0.0, 1 - each[:, 3] / each[:, 0])
+    fused = smooth(each[:, 0] / each[:, 2]) * smooth((each[:, 1] + 0.1) / each[:, 2]) * unlinked * weight
+    out: dict[tuple[str, ...], float] = {}
     for b, f in zip(inside, fused.tolist(), strict=True):
-        scores[b.path] = max(scores.get(b.path, 0.0), f)
-    chosen = {p for p, f in scores.items() if f >= conf.least * max(scores.values())}
+        out[b.path] = max(out.get(b.path, 0.0), f)
+    return out
+
+
+def select(found: list[Block], conf: PathConfig = PathConfig()) -> list[Block]:
+    """The blocks whose tag path scores as content, and headings beside them."""
+    inside = [b for b in found if not b.outside]
+    if not inside:
+        return []
+    by_path = scores(inside, conf)
+    best = max(by_path.values())
+    chosen = {p for p, f in by_path.items() if f >= conf.least * best and f > 0}
     parents = {p[:-1] for p in chosen}
     return [b for b in inside if b.path in chosen or (b.path and b.path[-1].split(".")[0] in HEADINGS and b.path[:-1] in parents)]
 
