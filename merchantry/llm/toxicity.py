@@ -28,7 +28,7 @@ class ToxicConfig:
     """At most ``most_labelled`` texts are learned from; every word that at least ``least_texts`` of them hold has a weight."""
 
     most_labelled: int = 24_000
-    least_texts: int = 4
+    least_texts: int = 8
     rounds: int = 20
     step: float = 0.4
     decay: float = 0.02
