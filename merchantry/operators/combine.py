@@ -35,13 +35,15 @@ def spine_join(sides: dict[str, DataFrame], keys: Sequence[str], zero: Sequence[
     return merged.withColumns(filled) if filled else merged
 
 
-def total_of(df: DataFrame, column: str) -> Column:
-    """Sum of a column over the whole frame, as a scalar subquery."""
-    return df.select(F.sum(column)).scalar()
-
-
 def share_of_total(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.col(column) / F.nullif(total_of(df, column), F.lit(0)))
+    """``column`` over its sum in all rows, which a scalar subquery takes from the same grouped rows.
+
+    The subquery looks at every column, so that its plan below is that of ``df`` and
+    Spark runs the grouping once for both.
+    """
+    others = [F.max(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema.fields) if f.name != column]
+    total = df.agg(F.struct(F.sum(column).alias("total"), *others).alias("all")).scalar().getField("total")
+    return df.withColumn(name, F.col(column) / F.nullif(total, F.lit(0)))
 
 
 def flatten(df: DataFrame, array: str, name: str, outer: bool = False) -> DataFrame:

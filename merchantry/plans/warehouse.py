@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchantry.config import Settings
 from merchantry.plans import charts, checks, facts_marketing as fm, facts_sales as fs, metrics
@@ -18,7 +18,8 @@ from merchantry.plans import staging_crm as crm, staging_email as email, staging
 from merchantry.plans import staging_stock as stock, staging_traffic as traffic
 from merchantry.plans.semantic import MetricQuery, metric_query
 from merchantry.sources.catalog import Catalog
-from merchantry.sources.loads import full_refresh
+from merchantry.plans.staging_stock import LOADED_AT
+from merchantry.sources.loads import full_refresh, load_health
 
 GA = "google_analytics"
 SOURCE_MEDIUM_REPORT = "traffic_acquisition_session_source_medium_report"
@@ -186,8 +187,19 @@ class Warehouse:
         explore = metrics.explores(self.settings, as_of)[query.explore]
         return metric_query(self.table(query.explore), explore, query, as_of)
 
-    def chart(self, name: str, as_of: date | None = None) -> DataFrame:
-        return self.query(charts.charts(self.settings)[name], as_of)
+    def chart(self, name: str, as_of: date | None = None, months: tuple[str, ...] = charts.REPORT_MONTHS) -> DataFrame:
+        """A chart by name; ``months`` (as ``yyyy-MM``) are those of the charts over a report year."""
+        return self.query(charts.charts(self.settings, months)[name], as_of)
+
+    def health(self, as_of: Column, stale_after_hours: int = 48) -> DataFrame:
+        """Rows and last load of every raw table of the catalogue, named ``system[_store].table``."""
+        tables = {}
+        for system, table, store in self.catalog.tables():
+            raw = self.raw(system, table, store)
+            loaded = {c.lower(): c for c in raw.columns}.get(LOADED_AT)
+            raw = raw if loaded else raw.withColumn(LOADED_AT, F.lit(None).cast("timestamp"))
+            tables[f"{system}_{store}.{table}" if store else f"{system}.{table}"] = (raw, loaded or LOADED_AT)
+        return load_health(tables, as_of, stale_after_hours)
 
     def check(self, name: str) -> DataFrame:
         return checks.run_checks(self.table(name), name, checks.DECLARED[name])

@@ -47,3 +47,17 @@ class Catalog:
         if self.root is None:
             raise KeyError(f"no raw table {(system, table, store)}")
         return self.spark.read.format(self.fmt).load(self.path(system, table, store))
+
+    def tables(self) -> list[Key]:
+        """All raw tables: the given frames, and the folders under ``root`` by their logical names."""
+        found = list(self.frames)
+        if self.root is not None:
+            pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{str(self.root).rstrip('/')}/*/*")
+            listed = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+            named = {f"{system}_{store}" if store else system: (system, store) for system, _, store in self.aliases}
+            logical = {(system, store, physical): table for (system, table, store), physical in self.aliases.items()}
+            for status in listed:
+                folder, table = status.getPath().getParent().getName(), status.getPath().getName()
+                system, store = named.get(folder, (folder, None))
+                found.append((system, logical.get((system, store, table), table), store))
+        return sorted(set(found), key=str)

@@ -178,19 +178,16 @@ def _(t):
     """
     select l_orderkey, l_linenumber, l_partkey, l_extendedprice, c_mktsegment, coalesce(p_name, 'unknown') as p_name, o_orderstatus
     from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
-      left join part on p_partkey = l_partkey and p_size > 25
-    where c_mktsegment in ('BUILDING', 'MACHINERY')
+      left join part on p_partkey = l_partkey
     """,
     "n:l_orderkey n:l_linenumber n:l_partkey r:l_extendedprice c_mktsegment p_name o_orderstatus",
 )
 def _(t):
-    buyers = t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
-        F.col("c_custkey").alias("o_custkey"), "c_mktsegment"
-    )
+    buyers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     heads = t.orders.select("o_custkey", F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus").join(buyers, "o_custkey")
-    large = t.part.filter(F.col("p_size") > 25).select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    joined = lines.join(heads, "l_orderkey").join(large, "l_partkey", "left")
+    joined = lines.join(heads, "l_orderkey").join(parts, "l_partkey", "left")
     return joined.withColumn("p_name", F.coalesce("p_name", F.lit("unknown"))).drop("o_custkey")
 
 

@@ -172,6 +172,14 @@ def test_share_sums_to_one(spark):
     assert rows(nothing, "s") == [(None,), (None,)]
 
 
+def test_share_groups_once(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    grouped = orders.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
+    shares = combine.share_of_total(grouped, "v", "s")
+    assert abs(sum(r.s for r in shares.collect()) - 1) < 1e-9
+    assert "ReusedExchange" in shares._jdf.queryExecution().executedPlan().toString()
+
+
 def test_flatten_inner_outer_and_sums(spark):
     df = spark.createDataFrame([(1, [("p", "2.5"), ("q", "1"), ("p", None)]), (2, []), (3, None)], "id int, a array<struct<k: string, v: string>>")
     assert combine.flatten(df, "a", "e").count() == 3

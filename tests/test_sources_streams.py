@@ -82,6 +82,18 @@ def test_load_health(spark):
     assert rows(got, "table_name", "row_count", "status") == [("fresh", 1, "ok"), ("none", 0, "empty"), ("old", 1, "stale")]
 
 
+def test_health_of_every_raw_table(spark, tmp_path):
+    from merchantry.plans.warehouse import Warehouse
+
+    loaded = spark.createDataFrame([(1, T0)], "id int, _airbyte_extracted_at timestamp")
+    loaded.write.parquet(f"{tmp_path}/shop_alpha/ORDERS_2")
+    loaded.limit(0).write.parquet(f"{tmp_path}/crm/leads")
+    catalog = Catalog(spark, str(tmp_path), aliases={("shop", "orders", "alpha"): "ORDERS_2"}, frames={("web", "visits", None): lambda: spark.range(2)})
+    assert catalog.tables() == [("crm", "leads", None), ("shop", "orders", "alpha"), ("web", "visits", None)]
+    got = Warehouse(spark, catalog).health(F.lit("2024-01-02 00:00:00"))
+    assert rows(got, "table_name", "row_count", "status") == [("crm.leads", 0, "empty"), ("shop_alpha.orders", 1, "ok"), ("web.visits", 2, "stale")]
+
+
 def test_audit_and_purge(spark):
     cols = "id int, created_at string"
     own = spark.createDataFrame([(1, "2024-01-01T23:00:00-05:00"), (2, "2024-02-01T00:00:00Z"), (2, "2024-02-01T00:00:00Z"), (None, None)], cols)
