@@ -153,15 +153,15 @@ def test_line_dedup(messy, nothing):
     def key(line):
         return line.strip(SPACES).encode().lower().decode()
 
-    for r in rows:
+    for nr, r in enumerate(rows):
         for line in (r[1] or "").split("\n"):
             if len(key(line)) >= 20:
-                holders[key(line)].add(r[0] if r[0] is not None else -(2**63))
+                holders[key(line)].add((True, r[0]) if r[0] is not None else (False, nr))
     want = []
     for r in rows:
-        mine = r[0] if r[0] is not None else -(2**63)
+        mine = (True, r[0])
         all_ = (r[1] or "").split("\n")
-        kept = [x for x in all_ if not (len(holders.get(key(x), ())) >= 3 and max(holders[key(x)]) != mine)]
+        kept = [x for x in all_ if not (len(holders.get(key(x), ())) >= 3 and max(holders[key(x)])[0] and max(holders[key(x)]) != mine)]
         want.append((r[0], "\n".join(kept), len(all_), len(all_) - len(kept)))
     for fanout in (2, 3):
         got = lines.drop_repeated_lines(messy, lines.LineConfig(batches=4, fanout=fanout))
@@ -169,6 +169,30 @@ def test_line_dedup(messy, nothing):
     assert lines.drop_repeated_lines(nothing).count() == 0
 
 
+def test_lines_of_rows_without_ids(spark):
+    line, only = "this line stands in many documents", "this one is in rows without an id alone"
+    rows = [(None, line), (None, line), (None, f"{line}\n{only}"), (None, f"own\n{only}"), (None, f"{only}\n{line.upper()} "), (4, line), (-(2**63), f"x\n{line}")]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(
+        [(None, "", 1, 1), (None, "", 1, 1), (None, only, 2, 1), (None, f"own\n{only}", 2, 0), (None, only, 2, 1), (4, line, 1, 0), (-(2**63), "x", 2, 1)]
+    )
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        text = "\n".join(f"a line that is long enough, number {i}" for i in range(n))
+        docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert sorted(r.n_dropped for r in lines.drop_repeated_lines(docs, lines.LineConfig(batches=1)).collect()) == [0, n, n]
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(20_000) < 4 * took(5_000) + 2
+
+
+
 def test_mixing_meets_targets(spark, messy, nothing):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["x"] * int(n)), None if i % 40 == 7 else "abc"[min(2, i % 5)]) for i, n in enumerate(rng.integers(0, 60, 700))]
