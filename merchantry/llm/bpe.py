@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from merchantry.llm.common import chunks
 from merchantry.llm.packed import batches_of, from_planes, key_of, pack, planes, unpack
 
+#: Bytes of text of a chunk: its words in order become Python numbers where they meet their ids.
+CHUNK = 8 << 20
+
 
 @dataclass(frozen=True)
 class BpeConfig:
@@ -37,7 +40,7 @@ class BpeConfig:
 
     path: str = field(default_factory=lambda: public_tokenizers.path("word_bpe_49k.json"))
     buckets: int = 4096
-    held_words: int = 500_000
+    held_words: int = 300_000
     requests_at_once: int = 256
     answers_at_once: int = 200_000
 
@@ -55,7 +58,7 @@ def _requests(docs: DataFrame, conf: BpeConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK):
             if not chunk.words:
                 continue
             bucket = (chunk.hashes() % np.uint64(conf.buckets)).astype(np.int32)
@@ -136,7 +139,7 @@ STREAM = pa.schema([("key", pa.int64()), ("doc_ids", pa.binary()), ("lengths", p
 
 def _streams(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK):
             ids = chunk.rows.select(["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:

@@ -26,7 +26,8 @@ def test_stages_take_effect(spark, small):
 
 def test_registered_queries_agree_with_sql(spark, small):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    for name in ("documents", "benchmark", "embeddings"):
+        con.sql(f"create view {name} as select * from '{small}/{name}.parquet'")
     for name, sql in queries.SQL.items():
         want = con.sql(sql)
         got = __spark_entry__.queries()[name](spark, small)
