@@ -36,7 +36,7 @@ def test_postcodes(spark, zip_, area, region):
 
 
 def test_region_areas_are_unique():
-    areas = [a for text in regions.REGION_AREAS.values() for a in text.split()]
+    areas = [a for own in regions.REGION_AREAS.values() for a in own]
     assert len(areas) == len(set(areas)) and len(regions.REGION_AREAS) == 12
 
 
