@@ -310,15 +310,15 @@ class Exports:
             F.lit(i).alias("id"),
             F.struct(F.lit(name).alias("name"), F.struct(F.lit(via).alias("name")).alias("integration")).alias("attributes"),
         )
-        region = F.col("r_regionkey")
+        kind = F.col("event_type")
         entries = (
-            F.when(region == 0, F.array(entry("recv", "Received Email", "mail"), entry("open", "Opened Email", "mail")))
-            .when(region == 1, F.array(entry("click", "Clicked Email", "mail")))
-            .when(region == 2, F.array(entry("order_shop", "Placed Order", "shop"), entry("order_api", "Placed Order", "api")))
-            .when(region == 3, F.array(entry("sub", "Subscribed to Email Marketing", "mail")))
-            .when(region == 4, F.array(entry("unsub", "Unsubscribed from Email Marketing", "mail")))
+            F.when(kind == "view", F.array(entry("recv", "Received Email", "mail"), entry("open", "Opened Email", "mail")))
+            .when(kind == "click", F.array(entry("click", "Clicked Email", "mail")))
+            .when(kind == "purchase", F.array(entry("order_shop", "Placed Order", "shop"), entry("order_api", "Placed Order", "api")))
+            .when(kind == "signup", F.array(entry("sub", "Subscribed to Email Marketing", "mail")))
+            .otherwise(F.array(entry("unsub", "Unsubscribed from Email Marketing", "mail")))
         )
-        return self.read("region").select(F.inline(entries))
+        return self.read("events").select("event_type").distinct().select(F.inline(entries)).distinct()
 
     def email_flows(self, sid: str) -> DataFrame:
         key = F.col("n_nationkey")

@@ -160,13 +160,14 @@ view(
 view(
     "stg_klaviyo__metrics",
     """
-    select * from (values
-      ('recv', 'Received Email', 'mail', 0), ('open', 'Opened Email', 'mail', 0), ('click', 'Clicked Email', 'mail', 1),
-      ('order_shop', 'Placed Order', 'shop', 2), ('order_api', 'Placed Order', 'api', 2),
-      ('sub', 'Subscribed to Email Marketing', 'mail', 3), ('unsub', 'Unsubscribed from Email Marketing', 'mail', 4))
-      as m(metric_id, metric_name, integration_name, region_key)
+    select metric_id, metric_name, integration_name, store_id from (values
+      ('view', 'recv', 'Received Email', 'mail'), ('view', 'open', 'Opened Email', 'mail'), ('click', 'click', 'Clicked Email', 'mail'),
+      ('purchase', 'order_shop', 'Placed Order', 'shop'), ('purchase', 'order_api', 'Placed Order', 'api'),
+      ('signup', 'sub', 'Subscribed to Email Marketing', 'mail'), (null, 'unsub', 'Unsubscribed from Email Marketing', 'mail'))
+      as m(kind, metric_id, metric_name, integration_name)
     cross join (values ('alpha'), ('beta')) as s(store_id)
-    where region_key in (select r_regionkey from region)
+    where kind in (select event_type from events)
+      or (kind is null and exists (select 1 from events where event_type not in ('view', 'click', 'purchase', 'signup')))
     """,
     "metric_id metric_name integration_name store_id",
 )
