@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchantry.functions import classify, dates, regions, scalars
 from merchantry.operators import combine, ranking, touch
-from merchantry.plans import semantic
+from merchantry.plans import semantic, staging_email
 from merchantry.plans.checks import Checks, run_checks
 from merchantry.plans.semantic import Calc, Explore, Filter, MetricQuery, metric_query
 from merchantry.session import prepare, shared_folder
 from merchantry.sources import audit, loads, purge, sinks
 from merchantry.sources.catalog import Catalog
 from merchantry.streaming import jobs
-from merchantry.workloads.exports import DOMAINS, SOURCES, ZIPS, pick
-from merchantry.workloads.oracle import REGION, _area, _month, _pick
+from merchantry.workloads.exports import DOMAINS, SETTINGS, SOURCES, ZIPS, Exports, pick
+from merchantry.workloads.oracle import COLUMNS, REGION, _area, _month, _pick, with_views
 from merchantry.workloads.present import present, present_sql
 
 BLOCKS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,6 +542,13 @@ def _(t):
     )
 
 
+@block("campaigns_from_variants", with_views("select * from stg_klaviyo__campaigns"), COLUMNS["stg_klaviyo__campaigns"])
+def _(t):
+    exports = Exports(t.spark, t.folder)
+    landed = {sid: exports.email_campaigns(sid) for sid in SETTINGS.store_ids}
+    return staging_email.campaigns({sid: df.withColumn("attributes", F.parse_json(F.to_json("attributes"))) for sid, df in landed.items()})
+
+
 @block(
     "flatten_outer_sum",
     """
