@@ -46,9 +46,15 @@ def _revenue_by(attributed: DataFrame, names: DataFrame, kind: str) -> DataFrame
 
 
 def fct_email_campaign_revenue(attributed: DataFrame, events: DataFrame) -> DataFrame:
-    """Credited revenue per campaign and month, named from the events themselves."""
+    """Credited revenue per campaign and month, named from the events themselves.
+
+    The names are first made distinct by hash, so that the greatest, which takes a sort,
+    is looked for among few rows.
+    """
     names = (
         events.filter(F.col("campaign_id").isNotNull() & F.col("campaign_name").isNotNull())
+        .select("store_id", "campaign_id", "campaign_name")
+        .distinct()
         .groupBy("store_id", "campaign_id")
         .agg(F.max("campaign_name").alias("campaign_name"))
     )
