@@ -165,6 +165,11 @@ class Warehouse:
             self._tables[name] = MODELS[name](self)
         return self._tables[name]
 
+    def forget_facts(self) -> None:
+        """Build facts and dimensions anew when they are next asked for; staging tables stay."""
+        for name in FACTS:
+            self._tables.pop(name, None)
+
     def view(self, name: str) -> DataFrame:
         """The table, also registered as a temporary SQL view."""
         df = self.table(name)

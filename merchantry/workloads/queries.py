@@ -26,6 +26,12 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     return _OPEN[key]
 
 
+def forget() -> None:
+    """Build all facts anew from here on: running numbers and last touches run a job when they are built."""
+    for house in _OPEN.values():
+        house.forget_facts()
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     query = MetricQuery(
         "fct_orders", ("store_id", "order_month"), ("total_revenue", "order_count"), sort=("order_month", False)
