@@ -44,6 +44,8 @@ def ending(word: bytes, n: int) -> int:
     return xxhash.xxh32_intdigest(tail) % n
 
 
+#: Bytes of text that a chunk holds: tasks keep several arrays with an entry for each of its words.
+CUT_BYTES = 8 << 20
 CHUNKS = pa.schema([(c, pa.binary()) for c in ("docs", "lengths", "stream", "hashes", "tails")] + [("words", pa.int64())])
 
 
@@ -51,7 +53,7 @@ def cut(docs: DataFrame, conf: BrownConfig) -> DataFrame:
     """The documents as chunks, cut once and written: their words in order as numbers, and per number the word's hash and ending."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for chunk in chunks(batches, lower=True):
+        for chunk in chunks(batches, lower=True, limit=CUT_BYTES):
             sink = pa.BufferOutputStream()
             own = chunk.rows.select(["doc_id", "held_out"])
             with pa.ipc.new_stream(sink, own.schema) as writer:
@@ -72,7 +74,7 @@ class Cut:
     def __post_init__(self) -> None:
         self.docs = pa.ipc.open_stream(self.row["docs"]).read_all()
         self.lengths = unpack(self.row["lengths"]).astype(np.int64)
-        self.stream = unpack(self.row["stream"]).astype(np.int64)
+        self.stream = unpack(self.row["stream"]).astype(np.int32)
         self.hashes = np.frombuffer(self.row["hashes"], np.uint64)
         self.tails = unpack(self.row["tails"]).astype(np.int64)
         self.train = ~np.array(self.docs.column("held_out").to_pylist(), bool)
@@ -233,9 +235,11 @@ def _contexts(table: DataFrame, lexicon: Lexicon, history: np.ndarray, buckets:
         k = int(history.max(initial=0)) + 1
         for c in cuts(batches):
             classes = history[lex.numbers(c)]
-            flat, _ = with_ends(c, np.arange(len(classes)), len(classes))
-            _, before = with_ends(c, classes, history[lex.end])
-            key, n = np.unique(flat * k + before, return_counts=True)
+            flat, previous = with_ends(c, np.arange(len(classes), dtype=np.int32), len(classes))
+            before = np.append(classes, history[lex.end]).astype(np.uint8)[previous]
+            key = flat.astype(np.int64) * k + before
+            del flat, previous, before
+            key, n = np.unique(key, return_counts=True)
             word, before = key // k, key % k
             ended = word == len(classes)  # the end of a text is a word of its own, in bucket -1
             if ended.any():
