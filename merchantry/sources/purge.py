@@ -33,17 +33,24 @@ RULES = {
 }
 
 
+def marked(rows: DataFrame, key: str) -> DataFrame:
+    """(key, file) of each row, the file as the hash of its path: paths would fill the sort, as they shrink to nothing in a shuffle whose pieces are made by their size."""
+    return rows.select(F.col(f"`{key}`").alias("key"), F.xxhash64("_metadata.file_path").alias("file"))
+
+
 def files_with(rows: DataFrame, key: str, foreign: DataFrame) -> list[str]:
     """Files of ``rows`` that hold a key of ``foreign`` (key), of which there is at most the table's own number.
 
     Only the key column is read.  Its range is a filter of the scan, so row groups whose
-    statistics lie outside are passed over.
+    statistics lie outside are passed over.  Should two paths have one hash, both are named.
     """
     low, high = foreign.agg(F.min("key"), F.max("key")).first()
     if low is None:
         return []
-    near = rows.where(F.col(f"`{key}`").between(low, high)).select(F.col(f"`{key}`").alias("key"), F.col("_metadata.file_path").alias("file"))
-    return [r["file"] for r in near.join(foreign, "key", "left_semi").select("file").distinct().collect()]
+    near = marked(rows.where(F.col(f"`{key}`").between(low, high)), key)
+    hit = near.join(foreign, "key", "left_semi").select("file").distinct()
+    paths = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    return [r["path"] for r in paths.join(hit, F.xxhash64("path") == F.col("file"), "left_semi").collect()]
 
 
 def purge_store(spark: SparkSession, own: dict[str, str], other: dict[str, DataFrame], target: str, rules: dict[str, Rule] = RULES) -> dict[str, int]:
