@@ -15,7 +15,8 @@ class Catalog:
     """``<root>/<system>[_<store>]/<table>`` read in ``fmt``.
 
     ``aliases`` maps a logical table name to its physical one.  ``frames`` gives
-    tables directly, as a DataFrame or a function that makes one.
+    tables directly, as a DataFrame or a function that makes one; ``streams`` the same
+    rows for readers that make one pass over them and sort none.
     """
 
     spark: SparkSession
@@ -23,6 +24,7 @@ class Catalog:
     fmt: str = "parquet"
     aliases: dict[Key, str] = field(default_factory=dict)
     frames: dict[Key, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
+    streams: dict[Key, Callable[[], DataFrame]] = field(default_factory=dict)
 
     def path(self, system: str, table: str, store: str | None = None) -> str:
         schema = f"{system}_{store}" if store else system
@@ -48,6 +50,11 @@ class Catalog:
             raise KeyError(f"no raw table {(system, table, store)}")
         return self.spark.read.format(self.fmt).load(self.path(system, table, store))
 
+    def streamed(self, system: str, table: str, store: str | None = None) -> DataFrame:
+        """The rows of :meth:`source`, in no better pieces than they come where that spares a move."""
+        make = self.streams.get((system, table, store))
+        return make() if make else self.source(system, table, store)
+
     def tables(self) -> list[Key]:
         """All raw tables: the given frames, and the folders under ``root`` by their logical names."""
         found = list(self.frames)
