@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from merchantry.plans import facts_sales as fs, staging_crm as crm
+from merchantry.plans.checks import Checks, run_checks
 from merchantry.plans.staging_stock import LOADED_AT, newest
 from merchantry.sources.catalog import Catalog
 from tests.conftest import rows
@@ -94,3 +95,15 @@ def test_a_catalogue_gives_streams_where_it_has_them(spark):
     key = ("a", "b", None)
     made = Catalog(spark, frames={key: lambda: spark.range(2), ("a", "c", None): lambda: spark.range(4)}, streams={key: lambda: spark.range(3)})
     assert made.source("a", "b").count() == 2 and made.streamed("a", "b").count() == 3 and made.streamed("a", "c").count() == 4
+
+
+def test_whole_numbers_are_checked_as_they_are(spark):
+    made = [(1, "a"), (1, "a"), (2, "b"), (0, None), (0, "c"), (-1, "c"), (None, "d"), (None, "e"), (2**31 - 1, "f")]
+    df = spark.createDataFrame(made, "k int, t string")
+    for kind in ("int", "long"):
+        checked = run_checks(df.withColumn("k", F.col("k").cast(kind)), "x", Checks("k t", "k t", "k", {}, ("k", "t")))
+        assert rows(checked, "check_name", "column_name", "failures") == [
+            ("accepted_range", "k", 1), ("not_null", "k", 2), ("not_null", "t", 1), ("unique", "k", 2), ("unique", "t", 2), ("unique_combination", "k,t", 1),
+        ]
+    one = run_checks(df, "x", Checks("", "k"))._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64" not in one and "xxhash64" in run_checks(df, "x", Checks("", "t"))._jdf.queryExecution().analyzed().toString()
